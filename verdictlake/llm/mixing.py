@@ -45,17 +45,22 @@ def targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
 
 
 def balance(cells: DataFrame, goals: DataFrame, most: float = 2.0, tolerance: float = 1e-12, iterations: int = 60) -> DataFrame:
-    """Newton on the dual. cells: mx_place, mx_base, mx_cell (words); goals: mx_place, mx_target. Adds mx_lambda to the goals."""
-    state = staged(goals.withColumn("mx_lambda", F.lit(0.0)), "mix-dual")
+    """Newton on the dual. cells: mx_place, mx_base, mx_cell (words); goals: mx_place, mx_target. Returns mx_lambda a goal.
+
+    Along exp(lambda) the words taken are concave and, between the points at which cells reach ``most``, linear. From a
+    start where no cell is cut, steps of gap over slope along it therefore never pass the solution and end there.
+    """
+    start = cells.groupBy("mx_place").agg((F.log(F.lit(float(most)) / F.max("mx_base")) - F.log(F.lit(2.0))).alias("mx_lambda"))
+    state = staged(goals.join(start, "mx_place"), "mix-dual")
     for _ in range(iterations):
         raw = F.col("mx_base") * F.exp("mx_lambda")
         step = cells.join(state, "mx_place").groupBy("mx_place").agg(
             F.first("mx_target").alias("mx_target"), F.first("mx_lambda").alias("mx_lambda"),
-            F.sum(F.col("mx_cell") * F.least(raw, F.lit(most))).alias("mx_now"), F.sum(F.col("mx_cell") * raw).alias("mx_slope"),
+            F.sum(F.col("mx_cell") * F.least(raw, F.lit(float(most)))).alias("mx_now"), F.sum(F.when(raw < most, F.col("mx_cell") * raw).otherwise(0.0)).alias("mx_slope"),
         )
-        gap = F.col("mx_now") - F.col("mx_target")
-        move = F.when(F.col("mx_slope") > 0, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), gap / F.col("mx_slope")))).otherwise(0.0)
-        step = staged(step.select("mx_place", "mx_target", (F.col("mx_lambda") - move).alias("mx_lambda"), F.abs(gap).alias("mx_gap")), "mix-dual")
+        gap = F.col("mx_target") - F.col("mx_now")
+        move = F.when((F.col("mx_slope") > 0) & (F.col("mx_slope") + gap > 0), F.log((F.col("mx_slope") + gap) / F.greatest("mx_slope", F.lit(1e-300)))).when(gap < 0, F.lit(-700.0)).otherwise(0.0)
+        step = staged(step.select("mx_place", "mx_target", (F.col("mx_lambda") + move).alias("mx_lambda"), F.abs(gap).alias("mx_gap")), "mix-dual")
         worst = step.agg(F.max(F.col("mx_gap") / F.greatest("mx_target", F.lit(1.0)))).first()[0]
         drop_staged(state)
         state = step
