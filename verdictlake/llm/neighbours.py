@@ -133,7 +133,7 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
                 us.append(ids[a:b][i])
                 vs.append(ids[a:b][j])
                 ss.append(s[i, j])
-            if us:
+            if sum(map(len, us)):
                 u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss)
                 order = np.lexsort((v, u))  # one row a pair and task
                 u, v, s = u[order], v[order], s[order]

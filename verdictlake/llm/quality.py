@@ -112,7 +112,7 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))), 9)  # matrix products differ in the last bits with the batch
 
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.008, decay: float = 1e-4) -> Network:
         if not len(positive) or not len(unlabelled):
