@@ -21,3 +21,12 @@ def ship(spark: SparkSession) -> None:
     packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='verdictlake-')}/verdictlake", "zip", root, "verdictlake")
     spark.sparkContext.addPyFile(packed)
     _shipped.add(app)
+
+
+def working_dir(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; only in local mode, where it may be unset, to a temporary folder."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
