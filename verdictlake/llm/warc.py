@@ -287,4 +287,5 @@ def capture_histories(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     runs = write_archives(own, folder)
     history = merge_runs(runs, folder)
     records = read_archives(runs)
-    return history.drop("page_id").join(records, ["archive", "offset"])
+    # Both sides come from short lists of files, whose size Spark would take for theirs and broadcast one.
+    return history.drop("page_id").hint("merge").join(records.hint("merge"), ["archive", "offset"])
