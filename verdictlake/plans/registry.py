@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rates, seeded, statements
+from ..functions import intervals, rates, seeded, statements
 from ..operators import attempts as A
+from ..operators import checks as C
+from ..operators import decisions as D
 from ..operators import pool as P
 from ..streaming import verdict_log as S
 
@@ -424,3 +426,90 @@ def version_tax_sections(spark, d):
     s = attempts(spark, d).groupBy("problem").agg(side(F.col("round") < 1998).alias("a"), side(F.col("round") >= 1998).alias("b"))
     bridged = s.join(load(spark, d, "part").select(F.col("p_partkey").alias("problem"), "p_brand"), "problem", "left").select("a", "b", F.explode(F.array_compact(F.array(F.lit("all"), "p_brand"))).alias("section"))
     return rounded(bridged.groupBy("section").agg((F.sum("b") / F.nullif(F.sum("a"), F.lit(0))).alias("ratio"), F.count(F.lit(1)).alias("problems")))
+
+
+SIGN_SQL = "CASE WHEN gained + lost > 0 THEN format('{:.5e}', least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2.0::DOUBLE))))))::DOUBLE END"
+BEAT_SQL = D.BEAT.replace("'", "''")
+FIGURES_SQL = f"""{PAIRS_SQL}, d AS (SELECT p_brand, k_before, k_after, (k_after - k_before) / 4 AS change FROM p JOIN part ON p_partkey = problem),
+s AS (SELECT p_brand, count(*) AS problems, avg(change) AS mean, avg(change) - 1.96::DOUBLE * stddev_samp(change) / sqrt(count(*)) AS low, avg(change) + 1.96::DOUBLE * stddev_samp(change) / sqrt(count(*)) AS high,
+ count(*) FILTER (k_before = 0 AND k_after > 0) AS gained, count(*) FILTER (k_before > 0 AND k_after = 0) AS lost, sum(k_before)::BIGINT AS before, sum(k_after)::BIGINT AS after FROM d GROUP BY 1),
+read AS (SELECT *, {SIGN_SQL} AS p_value FROM s)"""
+
+
+def figures(spark, d):
+    """By brand: the paired change with a normal interval, problems gained and lost with their sign test, successes."""
+    rows = A.paired(arms(spark, d), "arm", "before", "after").join(load(spark, d, "part").select(F.col("p_partkey").alias("problem"), "p_brand"), "problem")
+    change, n = (F.col("k_after") - F.col("k_before")) / 4, F.count(F.lit(1))
+    half = F.lit(1.96) * F.stddev_samp(change) / F.sqrt(n)
+    rows = rows.groupBy("p_brand").agg(
+        n.alias("problems"), F.avg(change).alias("mean"), (F.avg(change) - half).alias("low"), (F.avg(change) + half).alias("high"),
+        F.count_if(F.expr("k_before = 0 and k_after > 0")).alias("gained"), F.count_if(F.expr("k_before > 0 and k_after = 0")).alias("lost"), F.sum("k_before").alias("before"), F.sum("k_after").alias("after"),
+    )
+    return rows.withColumn("p_value", rates.sign_probability(F.col("gained"), F.col("lost")))
+
+
+@query(sql_rounded(f"WITH {FIGURES_SQL} SELECT p_brand, problems, mean, low, high, gained, lost, p_value FROM read", "mean", "low", "high"))
+def paired_figures(spark, d):
+    return rounded(figures(spark, d).drop("before", "after"))
+
+
+@query(f"""WITH {FIGURES_SQL} SELECT p_brand, CASE WHEN low > 0 THEN 'improved' WHEN high < 0 THEN 'degraded' ELSE 'no measurable change' END AS label,
+CASE WHEN mean IS NULL THEN 'NOT READ' WHEN low > 0 THEN 'UP' WHEN high < 0 THEN 'DOWN' ELSE 'HOLDS' END AS three_way,
+CASE WHEN mean >= 0 THEN 'ESCALATE' WHEN mean < -0.004 THEN 'TOKEN_HABIT' ELSE 'ESCALATE' END AS scout,
+CASE WHEN problems < 40 THEN 'VOID' WHEN high < 0 THEN 'STOP AND DIAGNOSE' WHEN mean >= 0 THEN 'ESCALATE' ELSE 'NOT NAMED BY THE SPEC' END AS aimed,
+CASE WHEN gained > lost AND p_value < 0.05 THEN CASE WHEN low > 0 THEN '{D.GIVES_BACK}' ELSE '{D.UNDOES}' END WHEN low > 0 THEN '{D.KEEPS_ONLY}' ELSE '{D.NOT_THIS_LEVER}' END AS rows_rule,
+CASE WHEN low > 0 THEN '{BEAT_SQL}' WHEN high < 0 THEN 'THEY COST' WHEN (high - low) / 2 > 0.0165 THEN '{D.UNDETECTABLE_SEEDS}' ELSE 'NOT SHOWN' END AS draws,
+lost > gained AND coalesce(p_value < 0.05, false) AS narrower,
+CASE WHEN after >= before THEN 'ESCALATE' WHEN 10000 * (before - after) > 100 * 4 * problems THEN 'COSTS' ELSE 'NOT SHOWN AT ONE SEED' END AS dose,
+CASE WHEN 10000 * (after - before) >= 85 * 4 * problems THEN 'ADDS: ESCALATE' WHEN 10000 * (before - after) > 85 * 4 * problems THEN 'COSTS' ELSE 'NOT SHOWN AT ONE SEED' END AS against_bar,
+CASE WHEN 10000 * (before - after) > 130 * 4 * problems THEN '{D.AVERAGE_IS_PART}' ELSE '{D.ONE_CONTINUATION}' END AS made_it FROM read""")
+def decision_labels(spark, d):
+    """The rules over figures by brand; no check failed there."""
+    none, c, n = F.lit(0), F.col, F.col("problems") * 4
+    own = D.Interval(c("mean"), c("low"), c("high"))
+    rules = {
+        "three_way": D.three_way(none, own, "UP", "DOWN", "HOLDS"), "scout": D.scout(c("mean"), F.lit(True)), "aimed": D.aimed_round(own, F.lit(0.2), F.lit(0.1), c("problems"), 40),
+        "rows_rule": D.rows_rule(none, none, c("problems"), c("gained"), c("lost"), c("p_value"), own), "draws": D.draws(own),
+        "dose": D.stock_dose(none, c("after"), n, c("before"), n, 100), "against_bar": D.against_bar(none, c("after"), n, c("before"), n), "made_it": D.what_made_it(none, c("after"), n, c("before"), n),
+    }
+    named = [rule["name"].alias(name) for name, rule in rules.items()]
+    return figures(spark, d).select("p_brand", D.interval_label(own).alias("label"), D.narrower(c("gained"), c("lost"), c("p_value")).alias("narrower"), *named)
+
+
+@query()
+def bootstrap_by_rung(spark, d):
+    """Paired change by rung with numpy's resamples: SQL has no such draws, the tests hold it against a plain loop."""
+    pairs = A.paired(arms(spark, d), "arm", "before", "after").select("problem", rates.rung(F.col("k_before"), F.col("n_before")).alias("rung"), ((F.col("k_after") - F.col("k_before")) / 4).alias("change"))
+    return intervals.bootstrap_by(pairs, "rung", "problem", "change")
+
+
+@query("""WITH held AS (SELECT p_partkey AS problem FROM part WHERE p_size > 40), mapped AS (SELECT p_partkey AS problem FROM part WHERE p_size <= 10),
+candidates AS (SELECT l_partkey AS problem FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09), facts AS (SELECT p_partkey AS problem FROM part WHERE p_size < 10),
+r AS (SELECT CASE WHEN p_size > 38 THEN 'heldout' ELSE 'base_map' END AS set, l_partkey AS problem, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 38 OR p_size < 10 GROUP BY ALL)
+SELECT DISTINCT rule, problem::VARCHAR AS problem FROM (
+SELECT 'candidate twice' AS rule, problem FROM candidates GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'candidate in heldout', problem FROM candidates WHERE problem IN (FROM held) UNION ALL SELECT 'candidate in base_map', problem FROM candidates WHERE problem IN (FROM mapped)
+UNION ALL SELECT 'no result of heldout', problem FROM held WHERE problem NOT IN (SELECT problem FROM r WHERE set = 'heldout') UNION ALL SELECT 'no result of base_map', problem FROM mapped WHERE problem NOT IN (SELECT problem FROM r WHERE set = 'base_map')
+UNION ALL SELECT 'result outside heldout', problem FROM r WHERE set = 'heldout' AND problem NOT IN (FROM held) UNION ALL SELECT 'result outside base_map', problem FROM r WHERE set = 'base_map' AND problem NOT IN (FROM mapped)
+UNION ALL SELECT 'other number of episodes', problem FROM r WHERE set = 'heldout' AND n <> 30
+UNION ALL SELECT 'no facts', problem FROM mapped WHERE problem NOT IN (FROM facts) UNION ALL SELECT 'facts outside base_map', problem FROM facts WHERE problem NOT IN (FROM mapped))""")
+def violations_round_data(spark, d):
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("problem"), "p_size")
+    tried = attempts(spark, d).join(part, "problem").where("p_size > 38 or p_size < 10").groupBy(F.when(F.col("p_size") > 38, "heldout").otherwise("base_map").alias("set"), "problem")
+    found = tried.agg(F.count_if("verified").alias("k"), F.count(F.lit(1)).alias("n"))
+    return C.round_data_violations(part.where("p_size > 40"), part.where("p_size <= 10"), attempts(spark, d).where("thin"), part.where("p_size < 10"), found, 30)
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey AS problem FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount >= 0.09), m AS (SELECT DISTINCT l_partkey AS problem FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.09)
+SELECT coalesce(s.problem, m.problem) AS problem, (s.problem IS NOT NULL)::BIGINT AS stored, (m.problem IS NOT NULL)::BIGINT AS made FROM s FULL JOIN m ON s.problem = m.problem WHERE s.problem IS NULL OR m.problem IS NULL""")
+def hold_the_sets(spark, d):
+    rows = attempts(spark, d)
+    return C.set_differences(rows.where("thin and side = 'F'").select("problem").distinct(), rows.where("status = 'rejected' and l_discount >= 0.09").select("problem").distinct(), "problem")
+
+
+@query("""WITH p AS (SELECT p_partkey AS problem, CASE WHEN p_size % 3 = 0 THEN 'negation' WHEN p_size % 3 = 1 THEN 'statement' END AS out, p_size < 45 AS neg, ('0x' || left(sha256('7:contradicted_side_audit:' || p_partkey), 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 AS audit FROM part)
+SELECT problem, side, CASE WHEN out IS DISTINCT FROM side OR audit THEN 'checked' ELSE 'generated_only' END AS done FROM p, (VALUES ('statement'), ('negation')) t(side) WHERE side = 'statement' OR neg""")
+def side_plan(spark, d):
+    out = F.expr("CASE p_size % 3 WHEN 0 THEN 'negation' WHEN 1 THEN 'statement' END")
+    plan = C.side_plan(out, F.col("p_size") < 45, seeded.in_share(7, "contradicted_side_audit", F.col("p_partkey"), 0.1), True)
+    return load(spark, d, "part").select(F.col("p_partkey").alias("problem"), F.explode(plan).alias("side", "done"))
