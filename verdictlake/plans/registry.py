@@ -16,6 +16,7 @@ from ..operators import attempts as A
 from ..operators import checks as C
 from ..operators import decisions as D
 from ..operators import pool as P
+from ..operators import predictor as R
 from ..streaming import verdict_log as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,3 +514,12 @@ def side_plan(spark, d):
     out = F.expr("CASE p_size % 3 WHEN 0 THEN 'negation' WHEN 1 THEN 'statement' END")
     plan = C.side_plan(out, F.col("p_size") < 45, seeded.in_share(7, "contradicted_side_audit", F.col("p_partkey"), 0.1), True)
     return load(spark, d, "part").select(F.col("p_partkey").alias("problem"), F.explode(plan).alias("side", "done"))
+
+
+@query()
+def predictor_scores(spark, d):
+    """Rates predicted by the cross-validated fit: iterative, so the tests hold it against numpy instead of SQL."""
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("problem"), F.array(F.col("p_size").cast("double"), F.log1p("p_size"), F.length("p_brand").cast("double")).alias("features"))
+    rows = results(spark, d, "verified").join(part, "problem")
+    model, dispersion, _ = R.choose(rows, "problem", "features", "k", "n", [1.0, 10.0, 100.0], [0.0, 0.05, 0.1], folds=3, seed=7)
+    return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
