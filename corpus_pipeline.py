@@ -43,7 +43,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_classifier", keep_quality), ("language_id", keep_language), ("jaccard_join", keep_one_of_each), ("mixing", mix_sources), ("best_fit_packing", pack_sequences)]
 
-#: SQL cannot express the classifiers, the forest or the packing; tests/llm holds run() against a plain version.
+#: SQL cannot express the classifiers, the forest or the packing. tests/llm holds the stages' operators against plain
+#: versions; run() as a whole has none yet.
 ORACLE_SQL = None
 
 
