@@ -345,6 +345,13 @@ def test_jaccard_join_matches_all_pairs(spark, docs, block):
     assert jaccard_join.join_similar(df.where("doc_id < 0")).count() == 0
 
 
+def test_one_of_each_keeps_classes_without_an_id_of_their_own(spark):
+    rows = [(None, words(70 + i, 30)) for i in range(4)] + [(None, words(70, 30)), (5, words(80, 30)), (5, words(81, 30)), (6, words(81, 30)), (5, words(80, 30) + " end")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(kept) == 6 and {t for d, t in kept if d is None} == {t for _, t in rows[:4]}
+    assert {d for d, _ in kept} == {None, 5} and (5, rows[6][1]) in kept and len({rows[5][1], rows[8][1]} & {t for _, t in kept}) == 1
+
+
 def test_prefix_is_shortened_to_the_recall():
     k = jaccard_join.prefix_length(0.8, 0.999, 24, 8)
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24

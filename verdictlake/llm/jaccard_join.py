@@ -182,8 +182,8 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], ["node", "root", "text_links", "doc_links"])
 
 
-def join_similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 24, depth: int = 8, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_sha, class_id, class_size, links (documents that resemble it), text_links (texts other than its own that do)."""
+def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 24, depth: int = 8, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Staged: doc, sha of every document; and of every text sha, doc (its least id), label (one a class), class_doc, class_size and links."""
     forest = Forest(trees, prefix_length(threshold, recall, trees, depth))
     signed = staged(signatures(docs, forest, doc_id, text), "join-signed")
     texts = signed.groupBy("sha").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -216,15 +216,24 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     counts = links.groupBy("node").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     named = texts.select("sha", "node", "doc", "copies").join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("doc").alias("class_doc"), F.sum("copies").alias("class_size"))
-    named = staged(named.join(classes, "label").select("sha", "copies", "class_doc", "class_size", F.coalesce("text_links", F.lit(0)).alias("text_links"), (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-named")
+    named = named.join(classes, "label").select("sha", "doc", "label", "class_doc", "class_size", F.coalesce("text_links", F.lit(0)).alias("text_links"), (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return signed.select("doc", "sha"), staged(named, "join-named")
+
+
+def join_similar(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, text_sha, class_id, class_size, links (documents that resemble it), text_links (texts other than its own that do).
+
+    class_id is the least id of the class. It names no class where ids are null or stand on several texts.
+    """
+    signed, named = classed(docs, **settings)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return signed.select("doc", "sha").join(named, "sha").select(real("doc").alias("doc_id"), F.lower(F.hex("sha")).alias("text_sha"), real("class_doc").alias("class_id"), "class_size", "links", "text_links")
+    return signed.join(named.drop("doc", "label"), "sha").select(real("doc").alias("doc_id"), F.lower(F.hex("sha")).alias("text_sha"), real("class_doc").alias("class_id"), "class_size", "links", "text_links")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents, one of each class: the one with the least id (of repeated rows any one)."""
-    kept = join_similar(docs, **settings).where("doc_id is not distinct from class_id").groupBy("class_id").agg(F.min("text_sha").alias("jj_sha")).withColumnRenamed("class_id", "jj_id")
+    """The documents, one of each class: the one with the least id, of equal ids the least text hash (of repeated rows any one)."""
+    _, named = classed(docs, **settings)
+    kept = named.groupBy("label").agg(F.min(F.struct("doc", "sha")).alias("first")).select(F.col("first.doc").alias("jj_key"), F.lower(F.hex("first.sha")).alias("jj_sha"))
     own = docs.select(F.struct("*").alias("jj_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("jj_key"), F.lower(F.hex(F.expr("substring(unhex(sha2(coalesce(cast(text as string), ''), 256)), 1, 16)"))).alias("jj_sha"))
-    kept = kept.withColumn("jj_key", F.coalesce("jj_id", F.lit(NO_ID))).select("jj_key", "jj_sha")
     once = own.join(kept, ["jj_key", "jj_sha"]).dropDuplicates(["jj_key", "jj_sha"])
     return once.select(*[F.col("jj_row").getField(c).alias(c) for c in docs.columns])
