@@ -167,6 +167,17 @@ def test_neighbours_match_brute_force(spark):
     assert {(r["query_id"], r["vec_id"]) for r in few.collect()} == {(0, 7), (0, 50), (50, 0), (50, 7)}
 
 
+def test_neighbours_among_many_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 64)), rng.normal(size=64) + 0.003 * rng.normal(size=(1000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(df).where("query_id >= 300").toPandas()
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = [len(set(np.argsort(-np.where(np.arange(1300) == q, -9, m @ m[q]))[:5]) & set(got[got.query_id == q].vec_id)) for q in range(300, 1300, 50)]
+    print("recall at 5 of 20 near copies:", sum(hits) / 100)
+    assert sum(hits) >= 90
+
+
 URLS = [None, "", "nothing", "http://ORG/", "http://a.example.org/es/x?q", "https://example.org/en/17#a", "http://xexample.org/es/1", "ftp://m.com/fr/", "http://m.com/de/z", "http://m.com/de", "http://a.com:80/fr/", "http://example.org", "x://y://org/z", "http://b.com/fr/\nnew"]
 
 

@@ -2,8 +2,8 @@
 
 Equal vectors are one node. A first graph comes from blocks of nodes on the same sides of random hyperplanes (a block of
 more than ``block`` nodes is dealt by hash), all pairs of a block compared in one matrix product. Then, round by round,
-every node brings its neighbours and the nodes that name it together (a join with the nodes' vectors, one byte a
-component): pairs among them that are nearer than a node's worst neighbour are proposed, and each node keeps its
+every node brings its neighbours and the nodes that name it together (a join with the nodes' unit vectors, four
+bytes a component, multiplied in double precision: bytes would tie among near copies): pairs among them that are nearer than a node's worst neighbour are proposed, and each node keeps its
 ``degree`` best. Pairs that have met before are not compared again; the rounds end when few neighbours change.
 
 A query starts at its own node, or, if it has none, at the nearest of ``entries`` nodes drawn by hash; round by round the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, staged
 from .grouped import binary_matrix, runs_of
 
-EDGES = "u bigint, v bigint, s float, fresh boolean"
+EDGES = "u bigint, v bigint, s double, fresh boolean"
 
 
 def usable(vector: Column) -> Column:
@@ -38,7 +38,7 @@ def usable(vector: Column) -> Column:
 
 
 def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, copies: int) -> tuple[DataFrame, DataFrame]:
-    """Staged: node, q (unit vector, a byte a component), vector; and node, vec_id of each node's smallest ids."""
+    """Staged: node, q (unit vector, four bytes a component), vector; and node, vec_id of each node's smallest ids."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     rows = rows.where(F.size("vector") == (common[0]["d"] if common else 0))
@@ -50,8 +50,7 @@ def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, copies: int) -> tu
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary()), b.column(1)], ["node", "q", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), b.column(1)], ["node", "q", "vector"])
 
     nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("node")).select("node", "vector")
     nodes = staged(nodes.mapInArrow(unit, "node bigint, q binary, vector array<double>"), "nn-nodes")
@@ -61,7 +60,7 @@ def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, copies: int) -> tu
 
 
 def unit_rows(q: np.ndarray) -> np.ndarray:
-    x = q.astype(np.float32)
+    x = q.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -78,9 +77,9 @@ def first_graph(nodes: DataFrame, n: int, degree: int, trees: int, block: int, s
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = unit_rows(binary_matrix(b.column(1), np.int8))
+                x = unit_rows(binary_matrix(b.column(1), np.float32))
                 for t in range(trees):
-                    planes = np.random.default_rng(seed + t).normal(size=(x.shape[1], bits)).astype(np.float32)
+                    planes = np.random.default_rng(seed + t).normal(size=(x.shape[1], bits))
                     code = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)) * trees + t
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64))], ["node", "q", "code"])
 
@@ -91,7 +90,7 @@ def first_graph(nodes: DataFrame, n: int, degree: int, trees: int, block: int, s
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in runs_of(batches, "work"):
             ids = table["node"].to_numpy()
-            x = unit_rows(binary_matrix(table["q"], np.int8))
+            x = unit_rows(binary_matrix(table["q"], np.float32))
             for a, b in zip(borders, [*borders[1:], table.num_rows], strict=True):
                 k = min(degree, b - a - 1)
                 if k < 1:
@@ -99,7 +98,7 @@ def first_graph(nodes: DataFrame, n: int, degree: int, trees: int, block: int, s
                 s = x[a:b] @ x[a:b].T
                 np.fill_diagonal(s, -2)
                 at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], k)), pa.array(ids[a:b][at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel().astype(np.float32)), pa.array(np.ones((b - a) * k, bool))], ["u", "v", "s", "fresh"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], k)), pa.array(ids[a:b][at].ravel()), pa.array(np.take_along_axis(s, at, 1).ravel()), pa.array(np.ones((b - a) * k, bool))], ["u", "v", "s", "fresh"])
 
     pairs = blocks.select("work", "node", "q").repartition("work").sortWithinPartitions("work").mapInArrow(compared, EDGES)
     return staged(best(pairs, degree), "nn-edges")
@@ -113,14 +112,14 @@ def met(edges: DataFrame, reverse: int) -> DataFrame:
 
 
 def descend(edges: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> DataFrame:
-    worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
-    known = nodes.select(F.col("node").alias("v"), "q").join(worst.withColumnRenamed("u", "v"), "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
+    worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.min("s")).otherwise(F.lit(-2.0)).alias("worst"))
+    known = nodes.select(F.col("node").alias("v"), "q").join(worst.withColumnRenamed("u", "v"), "v", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
     meeting = met(edges, reverse).join(known, "v")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in runs_of(batches, "u"):
             ids, worst_, fresh = table["v"].to_numpy(), table["worst"].to_numpy(), table["fresh"].to_numpy()
-            x = unit_rows(binary_matrix(table["q"], np.int8))
+            x = unit_rows(binary_matrix(table["q"], np.float32))
             us, vs, ss = [], [], []
             for a, b in zip(borders, [*borders[1:], table.num_rows], strict=True):
                 f = fresh[a:b]
@@ -138,7 +137,7 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
                 order = np.lexsort((v, u))  # one row a pair and task
                 u, v, s = u[order], v[order], s[order]
                 new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(s[new].astype(np.float32)), pa.array(np.ones(new.sum(), bool))], ["u", "v", "s", "fresh"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(s[new]), pa.array(np.ones(new.sum(), bool))], ["u", "v", "s", "fresh"])
 
     offers = meeting.repartition("u").sortWithinPartitions("u").mapInArrow(propose, EDGES)
     return staged(best(edges.withColumn("fresh", F.lit(False)).unionByName(offers), degree), "nn-edges")
@@ -169,11 +168,11 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 1
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x, y = unit_rows(binary_matrix(b.column(2), np.int8)), unit_rows(binary_matrix(b.column(3), np.int8))
+                    x, y = unit_rows(binary_matrix(b.column(2), np.float32)), unit_rows(binary_matrix(b.column(3), np.float32))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], ["query_id", "v", "s"])
 
         vectors = pairs.join(nodes.select(F.col("node").alias("v"), "q"), "v").join(asked, "query_id")
-        return vectors.select("query_id", "v", "q", "asked").mapInArrow(run, "query_id bigint, v bigint, s float")
+        return vectors.select("query_id", "v", "q", "asked").mapInArrow(run, "query_id bigint, v bigint, s double")
 
     by = Window.partitionBy("query_id").orderBy(F.desc("s"), "v")
     state = staged(scored(own.unionByName(other)).withColumn("opened", F.lit(False)), "nn-beam")
