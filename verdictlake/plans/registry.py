@@ -407,6 +407,12 @@ def forbidden_token(spark, d):
     return load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.coalesce(*[F.when(F.col("text").rlike(f"(^|[^A-Za-z0-9_]){t}($|[^A-Za-z0-9_])"), F.lit(t)) for t in ("the", "de")]).alias("token"))
 
 
+@query()
+def forbidden_token_all(spark, d):
+    """Over the documents of every language and of none; forbidden_token is the English part that its SQL names."""
+    return load(spark, d, "documents").select("doc_id", statements.first_forbidden(F.col("text"), ["the", "de"]).alias("token"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def violations_attempt_twice(spark, d):
     return load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
