@@ -1,5 +1,6 @@
 """Registered queries on small tables of their own."""
 
+import datetime
 import re
 
 from verdictlake.plans.registry import QUERIES
@@ -12,3 +13,14 @@ def test_forbidden_tokens_of_every_language(spark, tmp_path):
     plain = lambda t: next((k for k in ("the", "de") if re.search(rf"(?<![\w.']){k}(?![\w'])", t)), None) if t is not None else None
     got = QUERIES["forbidden_token_all"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], str(r["token"])) for r in got) == sorted((i, str(plain(t))) for i, t, _ in rows)
+
+
+def lineitem(spark, folder, rows):
+    kinds = "l_partkey bigint, l_linestatus string, l_linenumber int, l_returnflag string, l_shipdate date, l_discount double"
+    spark.createDataFrame(rows, kinds).write.parquet(str(folder / "lineitem.parquet"))
+
+
+def test_histogram_counts_every_problem(spark, tmp_path):
+    lineitem(spark, tmp_path, [(p, "O", i, "R" if i < k else "N", datetime.date(1995, 1, 1), 0.09) for p, k in enumerate([0, 2, 8, 12, 12]) for i in range(15)])
+    got = {r["k"]: r["problems"] for r in QUERIES["k_histogram"](spark, str(tmp_path)).collect()}
+    assert got == {k: {0: 1, 2: 1, 8: 1, 12: 2}.get(k, 0) for k in range(13)}

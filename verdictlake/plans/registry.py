@@ -133,7 +133,9 @@ def attempts_figure(spark, d):
 
 @query(f"WITH {R_SQL} SELECT b.k::INT AS k, count(r.problem) AS problems FROM range(9) b(k) LEFT JOIN r ON r.k = b.k GROUP BY 1")
 def k_histogram(spark, d):
-    return A.histogram(results(spark, d).where("k <= 8"), 8)
+    """All problems: bins from 0 to the largest k, to 8 at least. The SQL stops at 8."""
+    rows = results(spark, d)
+    return A.histogram(rows, max(8, rows.agg(F.max("k").alias("k")).first()["k"] or 0))
 
 
 @query(f"WITH c AS (SELECT l_partkey AS problem, l_returnflag = 'R' AS v, (row_number() OVER (PARTITION BY l_partkey ORDER BY {ORDER_SQL}) - 1) // 8 AS chunk FROM lineitem), e AS (SELECT problem, chunk, bool_or(v) AS solved FROM c GROUP BY ALL HAVING count(*) = 8) SELECT problem, count(*) AS episodes, count(*) FILTER (solved) AS resolved FROM e GROUP BY 1")
