@@ -82,3 +82,14 @@ def expected_reward(p: Column, n: int, target: float) -> Column:
         r = (k / n) * (1 - k / n) ** a / (target * (1 - target) ** a)
         total = total + F.lit(math.comb(n, k) * r) * F.pow(p, F.lit(float(k))) * F.pow(1 - p, F.lit(float(n - k)))
     return total
+
+
+#: Two-sided 95% critical values of Student's t by degrees of freedom.
+T_CRITICAL = {1: 12.706204736174698, 2: 4.302652729749462, 3: 3.182446305283709, 4: 2.7764451051977934, 5: 2.5705818356363146, 6: 2.4469118511449692, 7: 2.3646242515927844, 8: 2.306004135204166, 9: 2.262157162798205}
+
+
+def t_critical(seeds: int) -> float:
+    """The critical value for so many seeds; other numbers than those of T_CRITICAL are refused."""
+    if seeds - 1 not in T_CRITICAL:
+        raise ValueError(f"no critical value for {seeds} seeds: they are given for {min(T_CRITICAL) + 1} to {max(T_CRITICAL) + 1}")
+    return T_CRITICAL[seeds - 1]

@@ -191,9 +191,9 @@ def wilson_by_stratum(spark, d):
 
 @query(sql_rounded("WITH y AS (SELECT year(l_shipdate) AS seed, count(*) FILTER (l_returnflag = 'R') / count(*) AS rate FROM lineitem GROUP BY 1) SELECT count(*) AS seeds, avg(rate) AS mean, stddev_samp(rate) AS sd, avg(rate) - 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS low, avg(rate) + 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS high FROM (SELECT * FROM y ORDER BY seed LIMIT 7)", "mean", "sd", "low", "high"))
 def t_interval_over_seeds(spark, d):
-    """Over the first seven years as seeds (6 degrees of freedom)."""
-    rows = attempts(spark, d).groupBy(F.col("round").alias("seed")).agg((F.count_if("verified") / F.count(F.lit(1))).alias("rate")).orderBy("seed").limit(7)
-    half = F.lit(2.4469118511449692) * F.stddev_samp("rate") / F.sqrt(F.count(F.lit(1)))
+    """Over all years as seeds; a number of years whose critical value is not given is refused. The SQL reads the first seven."""
+    rows = attempts(spark, d).groupBy(F.col("round").alias("seed")).agg((F.count_if("verified") / F.count(F.lit(1))).alias("rate"))
+    half = F.lit(rates.t_critical(rows.count())) * F.stddev_samp("rate") / F.sqrt(F.count(F.lit(1)))
     return rounded(rows.agg(F.count(F.lit(1)).alias("seeds"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"), (F.avg("rate") - half).alias("low"), (F.avg("rate") + half).alias("high")))
 
 
