@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding (a forest of one prefix length) with exact verification.
 
-Each of ``trees`` prefix tries holds every distinct text's MinHash signature of its five-word shingles, sorted by
-prefix. The prefix that two texts must share is shortened from ``depth`` on until a pair at the threshold is met in
-some tree with at least the wanted recall: 1 - (1 - threshold ** prefix) ** trees. The texts below one prefix are a
-bucket; a bucket with the same members as one in an earlier tree is left out. In every remaining bucket all pairs that
+For each of ``trees`` bands every distinct text has one key: the hash of ``prefix`` minima of its five-word shingles. The
+length is fixed from the parameters before any data is seen: the longest, at most ``depth``, at which a pair at the
+threshold shares some key with at least the wanted recall, 1 - (1 - threshold ** prefix) ** trees (24 bands of 6 as
+set). There are no tries, stored signatures of ``depth`` or prefixes shortened text by text: one threshold is asked for
+all pairs, so one length serves, and equal keys are a plain join. The texts of one key are a bucket; a bucket with the same members as one in an earlier tree is left out. In every remaining bucket all pairs that
 meet there for the first time are compared on their whole shingle sets, so each pair is counted once and no partner is
 cut off. Buckets larger than ``block`` are dealt by hash into parts of about that size, and each two parts are one piece
 of work: no task holds more than two parts, and pairs are never written, only each text's number of links and a tree of
