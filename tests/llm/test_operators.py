@@ -64,9 +64,7 @@ def test_shard_plan_merges_like_sizes_only(spark):
 def plain_encode(tokenizer, text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(tokenizer).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_packing_pieces_and_sequences(spark, docs):
@@ -88,7 +86,7 @@ def test_packing_pieces_and_sequences(spark, docs):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["don't I'LL x² ½ ª É ẞ İ Σας ΑΣ é", "a\x1cb c\x85d e\xa0f", "x\x7fy <|endoftext|>", "日本 😀!! ~|~ \xad", ""])
+@pytest.mark.parametrize("text", ["don't I'LL x² ½ ª É ẞ İ Σας ΑΣ é", "a\x1cb c\x85d e\xa0f", "x\x7fy <|endoftext|>", "a<|ENDOFTEXT|>b <|startoftext|>c", "日本 😀!! ~|~ \xad", ""])
 def test_encoder_equals_the_tokenizer(text):
     import public_tokenizers
 
@@ -97,6 +95,22 @@ def test_encoder_equals_the_tokenizer(text):
     assert got == [plain_encode(path, text)[:-1], plain_encode(path, text + " " + text)[:-1]]
 
 
+def test_added_tokens_are_one_id_and_other_tokenizers_go_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = lambda p, t: np.frombuffer(next(iter(packing.Encoder(p).encode([t]))), "<u4").tolist()
+    assert ids(path, "a <|endoftext|>")[-1:] == [49407] and packing.Encoder(path).by_runs
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    form["normalizer"]["normalizers"] = form["normalizer"]["normalizers"][:2]
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(form), encoding="utf-8")
+    assert not packing.Encoder(str(other)).by_runs and ids(str(other), "Ab cD") == plain_encode(str(other), "Ab cD")[:-1]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     rng = np.random.default_rng(0)

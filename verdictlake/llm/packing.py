@@ -11,12 +11,15 @@ sequence in which every residual capacity suffices and the rule is least:
 Both prefer the tightest fit where it matters to the piece; ties go to the older sequence. A new sequence opens only if
 none suffices. Sequences that a group leaves below ``full`` go back to pieces and are packed once more in larger groups.
 
-Defined results: a null text is empty and has the closing id alone; repeated rows are packed as often as they occur;
-ties in size are settled by doc_id and piece; an empty table gives an empty result; other columns are not looked at.
+Defined results: a null text is empty and has the closing id alone; a text that spells an added token of the tokenizer has
+that token's id there; a very long text becomes many pieces, all but the last full; repeated rows are packed as often as
+they occur; a null id stays null; ties in size are settled by doc_id and piece; an empty table gives an empty result;
+other columns are not looked at. Without tighter ``most_documents`` and ``most_attention`` tokens alone can bind.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +36,11 @@ from .common import staged, text_or_empty
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-#: The tokenizer's own split of a run without white space, and its names of bytes: those printable as they are, the others from 256 on.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The form of tokenizer whose runs and parts are encoded one by one. Any other goes through the tokenizers library whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTED = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: Names of bytes in byte-level vocabularies: those printable as they are, the others from 256 on.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(PLAIN))}
 
@@ -42,7 +48,8 @@ BYTES = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(b fo
 class Encoder:
     """Ids of a text as little-endian bytes. White space always parts tokens, so runs between it are encoded once and
     kept, and so are the parts of runs; both books are emptied when ``kept`` entries are reached. Runs beyond Latin
-    letters, where composing and lower-casing have rules of their own, go through the whole tokenizer."""
+    letters, where composing and lower-casing have rules of their own, go through the whole tokenizer, and so do texts
+    that hold an added token (``<|endoftext|>`` is one id), and all texts where the tokenizer is of another form."""
 
     def __init__(self, path: str, kept: int = 600_000):
         import os
@@ -51,8 +58,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept, self.runs, self.parts = kept, {}, {}
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        steps = lambda key, inner: (form.get(key) or {}).get(inner)
+        model = {k: v for k, v in form["model"].items() if k not in ("vocab", "merges") and v}
+        self.by_runs = (
+            steps("normalizer", "normalizers") == NORMAL and steps("pre_tokenizer", "pretokenizers") == PARTED and model == {"type": "BPE", "end_of_word_suffix": "</w>"}
+            and not any(form.get(k) for k in ("truncation", "padding", "post_processor"))
+        )
+        added = [t["content"] for t in form.get("added_tokens") or []]
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE) if added else None
+        self.split = regex.compile(SPLIT)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -71,13 +88,17 @@ class Encoder:
         for r in runs:
             if r not in book:
                 if max(r) < "\u0130":
-                    book[r] = b"".join([parts.get(p) or self.part(p) for p in SPLIT.findall(r.lower())])
+                    book[r] = b"".join([parts.get(p) or self.part(p) for p in self.split.findall(r.lower())])
                 else:
                     book[r] = self.whole(r)
 
+    def in_runs(self, text: str) -> bool:
+        """Whether the runs of the text may be encoded one by one (four separators part words in Python alone)."""
+        return self.by_runs and not any(c in text for c in "\x1c\x1d\x1e\x1f") and not (self.added and self.added.search(text))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            runs = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[at : at + 64]]
+            runs = [t.split() if self.in_runs(t) else None for t in texts[at : at + 64]]
             self.learn({r for rs in runs if rs for r in rs})
             get = self.runs.__getitem__
             for t, rs in zip(texts[at : at + 64], runs, strict=True):
@@ -171,7 +192,8 @@ def pack(cut: DataFrame, most: int = 2048, most_documents: int | None = None, mo
         return packed
 
     def dealt(df: DataFrame, n: int, size: int) -> DataFrame:
-        return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // size)))))
+        # df is read from files, where a row's number is the same in every attempt; equal rows are dealt out by it, too.
+        return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(max(1, -(-n // size)))))
 
     whole = cut.where(F.col("length") == most).select("*", (F.lit((1 << 61)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < most)
