@@ -143,6 +143,20 @@ def test_fingerprints(spark, docs):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_next_document_with_extreme_null_and_hot_ids(spark):
+    ids = [None, None, -(2**63), -(2**63) + 1, -1, 0, 2**63 - 2, 2**63 - 1, 2**63 - 1, *range(5, 600), *[700] * 400, *[None] * 200]
+    rows = [(i, "same words over and over again" if i == 700 and k % 3 else words(k, 12)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    own = df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "text")
+    dealt, order = fingerprints.with_next(own, "key", "text", bucket_bytes=900, coarse=16)
+    got = dealt.withColumns({"next_key": F.lead("key").over(order), "next_h": F.lead("bk_h").over(order), "next_text": F.lead("text").over(order)}).where("not guest").collect()
+    chain = sorted(own.select("key", F.xxhash64("text").alias("h"), "text").collect())
+    assert len(got) == len(rows) and max(collections.Counter(r["bucket"] for r in got).values()) < 400
+    want = collections.Counter((a["key"], a["h"], b["key"], b["h"], b["text"]) for a, b in zip(chain, [*chain[1:], chain[0]], strict=True))
+    assert collections.Counter((r["key"], r["bk_h"], r["next_key"], r["next_h"], r["next_text"]) for r in got) == want
+    assert fingerprints.fingerprint_edits(df).count() == len(rows)
+
+
 def test_sketches_merge(spark):
     parts = spark.createDataFrame([(k, words(s, 400)) for k in "ab" for s in range(3)] + [("a", "")], "k string, text string")
     merged = fingerprints.merge_sketches(fingerprints.with_sketch(parts, "text", "sketch"), ["k"], "sketch")

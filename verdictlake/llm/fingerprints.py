@@ -73,32 +73,51 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> D
     return least.groupBy(*keys).agg(F.sort_array(F.collect_list("sk_hash")).alias(sketch))
 
 
-def with_next(docs: DataFrame, key: str, rows_a_bucket: int = 2048, coarse: int = 64, most_buckets: int = 200_000) -> tuple[DataFrame, Window]:
-    """Deal docs (columns: key bigint, text) out to buckets that follow the key's order, each holding as a guest the first
-    rows of the next bucket (of the last: of the first). Returns the rows, repartitioned by bucket, and the window in
-    which lead() reaches the next document. No task holds more than a bucket's rows."""
-    n, low, high, marks = docs.agg(F.count(F.lit(1)), F.min(key), F.max(key), F.percentile_approx(key, [i / coarse for i in range(1, coarse)], 10_000)).first()
+def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = 4 << 20, most_buckets: int = 100_000, coarse: int = 128, sample: int = 16_384) -> tuple[DataFrame, Window]:
+    """Deal docs (key bigint, without nulls; text) out to buckets that follow the order of key, then of the text's hash, then
+    of rows; each bucket holds as a guest the first row of the next one that has any (the last one: of the first). Returns
+    the rows, repartitioned by bucket, and the window in which lead() reaches the next document.
+
+    ``coarse`` marks from a sample of at most about ``sample`` rows cut the order into ranges, each of which is cut evenly
+    between its ends: by key, or by hash where both ends have one key, or by row where they are equal rows, so that no
+    key and no group of equal rows makes a bucket of its own. Next documents of equal rows are equal, whichever stands first.
+    """
+    own = docs.withColumn("bk_h", F.xxhash64(text)).withColumn("bk_u", F.xxhash64(F.monotonically_increasing_id()))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    order = Window.partitionBy("bucket").orderBy("guest", key, "bk_h", "bk_u")
     if not n:
-        return docs.withColumns({"bucket": F.lit(0), "guest": F.lit(False)}), Window.partitionBy("bucket").orderBy("guest", key, "text")
-    starts = sorted({low, *marks})
-    ends = [*starts[1:], high + 1]
-    fine = max(1, math.ceil(n / max(rows_a_bucket, n / most_buckets) / len(starts)))
-    array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    part = F.size(F.filter(array(starts), lambda s: s <= F.col(key)))
-    start, end = F.element_at(array(starts), part), F.element_at(array(ends), part)
-    sub = F.least(F.floor((F.col(key) - start).cast("double") / (end - start).cast("double") * fine), F.lit(fine - 1))
-    dealt = docs.withColumn("bucket", ((part - 1) * fine + sub).cast("long"))
-    heads = dealt.groupBy("bucket").agg(F.min(key).alias("first_key"))  # at most coarse * fine rows, about most_buckets at any size
-    follow = heads.select(F.col("bucket").alias("guest_of"), F.coalesce(F.lead("first_key").over(Window.orderBy("bucket")), F.lit(low)).alias("guest_key"))
-    guests = docs.join(F.broadcast(follow), F.col(key) == F.col("guest_key")).select(*docs.columns, F.col("guest_of").alias("bucket"), F.lit(True).alias("guest"))
-    rows = dealt.withColumn("guest", F.lit(False)).unionByName(guests).repartition("bucket")
-    return rows, Window.partitionBy("bucket").orderBy("guest", key, "text")
+        return own.withColumns({"bucket": F.lit(0), "guest": F.lit(False)}), order
+    chosen = F.pmod(F.xxhash64("bk_u", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))
+    seen = sorted((r[0], r[1], r[2]) for r in own.where(chosen).select(key, "bk_h", "bk_u").collect())  # about sample rows of three numbers
+    marks = sorted({seen[len(seen) * i // coarse] for i in range(1, coarse)}) if seen else []
+    buckets = int(min(most_buckets, max(1, size // bucket_bytes)))
+    fine = max(1, -(-buckets // (len(marks) + 1)))
+    least, most = -(2**63), 2**63 - 1
+    ends = [(least, least, least), *marks, (most, most, most)]
+    low, high = ([F.array(*[F.lit(e[j]).cast("long") for e in xs]) for j in range(3)] for xs in (ends[:-1], ends[1:]))
+    mark_list = F.array(*[F.struct(*[F.lit(v).cast("long") for v in m]) for m in marks]) if marks else None
+    part = F.size(F.filter(mark_list, lambda m: m <= F.struct(F.col(key), F.col("bk_h"), F.col("bk_u")))) if marks else F.lit(0)
+    dealt = own.withColumn("bk_part", part)
+    of = lambda xs, j: F.get(xs[j], F.col("bk_part")).cast("double")
+    span = lambda c, j: (F.col(c).cast("double") - of(low, j)) / (of(high, j) - of(low, j))
+    # Between equal ends of a key the hash decides, between equal hashes the row; 0 at the low end of a mixed range.
+    share = F.when(of(high, 0) > of(low, 0), span(key, 0)).when(of(high, 1) > of(low, 1), span("bk_h", 1)).when(of(high, 2) > of(low, 2), span("bk_u", 2)).otherwise(0.0)
+    sub = F.greatest(F.lit(0), F.least(F.floor(share * fine), F.lit(fine - 1)))
+    dealt = dealt.withColumn("bucket", (F.col("bk_part") * fine + sub).cast("long")).drop("bk_part")
+    first = dealt.groupBy("bucket").agg(F.min(F.struct(key, "bk_h", "bk_u")).alias("first"))  # at most most_buckets + coarse rows
+    whole = Window.orderBy("bucket")
+    follow = first.select(F.col("bucket").alias("guest_of"), F.coalesce(F.lead("first").over(whole), F.first("first").over(whole)).alias("g"))
+    follow = follow.select("guest_of", *[F.col("g").getField(c).alias(f"g_{c}") for c in (key, "bk_h", "bk_u")])
+    guests = own.join(F.broadcast(follow), [own[c] == follow[f"g_{c}"] for c in (key, "bk_h", "bk_u")]).select(*own.columns, F.col("guest_of").alias("bucket"), F.lit(True).alias("guest"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
+    rows = dealt.withColumn("guest", F.lit(False)).unionByName(guests).repartition(int(tasks), "bucket")
+    return rows, order
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Sketches of every text and of its edited form, whose last half comes from the next document."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63) + 1)).alias("key"), text_or_empty(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    rows, order = with_next(own, "key")
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("key"), text_or_empty(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows, order = with_next(own, "key", "text")
     rows = with_sketch(rows, "text", "sketch", k)
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)}).where(~F.col("guest"))
     half = F.floor(F.length("text") / 2).cast("int")
