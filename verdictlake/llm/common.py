@@ -25,11 +25,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table written in the shared folder: lineage ends there, and a lost executor costs no rerun."""
+def staged(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
+    """The rows of df as a table written in the shared folder: lineage ends there, and a lost executor costs no rerun.
+
+    ``rows_a_batch`` bounds the Arrow batches on the way to Python and back while wide rows are written.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    if rows_a_batch:
+        spark.conf.set(key, str(rows_a_batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

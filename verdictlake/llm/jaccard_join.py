@@ -140,7 +140,7 @@ def met(codes: np.ndarray, rows: np.ndarray, columns: np.ndarray, trees: int) ->
     return out
 
 
-def common_shingles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, wanted: np.ndarray, step: int = 4096) -> np.ndarray:
+def common_shingles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, wanted: np.ndarray, step: int = 2048) -> np.ndarray:
     """How many shingles each wanted pair of a row and a column has in common; elsewhere anything."""
     counts = np.zeros((len(rows), len(columns)), np.float32)
     pairs = np.argwhere(wanted)
@@ -278,19 +278,19 @@ def blocks_at(tries: DataFrame, k: int, depth: int, done: DataFrame | None, bloc
     return dealt.withColumn("work", F.xxhash64("key", "low", "high"))
 
 
-def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 24, depth: int = 8, block: int = 1024, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 24, depth: int = 8, block: int = 768, block_bytes: int = 6 << 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Staged: doc, sha of every document; and of every text sha, doc (its least id), label (one a class), class_doc, class_size and links."""
     least = prefix_length(threshold, recall, trees, depth)
-    signed = staged(signatures(docs, Forest(trees, depth), doc_id, text), "join-signed")
+    signed = staged(signatures(docs, Forest(trees, depth), doc_id, text), "join-signed", 1000)
     texts = signed.groupBy("sha").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     texts = staged(texts.withColumn("node", F.monotonically_increasing_id()), "join-texts")
     tries = staged(sorted_tries(texts, trees, depth, least), "join-tries")
     wanted = tries.select("node").distinct().join(texts, "node").select("node", "sha", "doc", "copies", "signature")
-    content = staged(shingled(docs, wanted, doc_id, text), "join-content")
+    content = staged(shingled(docs, wanted, doc_id, text), "join-content", 400)
     links = done = None
     for k in range(depth, least - 1, -1):
         work = blocks_at(tries, k, depth, done, block, block_bytes).join(content, "node").select("work", "tree", "low", "high", "part", "node", "asks", "copies", "signature", "shingles")
-        found = staged(verify(work.repartition("work").sortWithinPartitions("work"), k, depth, trees, threshold), f"join-links-{k}")
+        found = staged(verify(work.repartition("work").sortWithinPartitions("work"), k, depth, trees, threshold), f"join-links-{k}", 400)
         links = found if links is None else links.unionByName(found)
         unseen = (1 - threshold**k) ** trees  # the chance that one more link at the threshold has not met yet
         sums = links.groupBy("node").agg(F.sum("text_links").alias("found"), F.sum("missed").alias("missed"))
