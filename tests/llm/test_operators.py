@@ -227,6 +227,15 @@ def test_url_rules(spark, limit):
     assert {r["verdict"] for r in url_filters.judge(pages, listed.where("false"), default="block").collect()} == {"block"}
 
 
+def test_very_long_urls(spark):
+    hosts = ["a." * 20_000 + "example.org", "example.org" + ".x" * 20_000, "a" * 100_000 + ".m.com"]
+    paths = ["/es/" + "p" * 100_000, "/es/", "/fr/" + "/d" * 50_000]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(zip(hosts, paths, strict=True))], "page_id bigint, url string")
+    listed = url_filters.listed(spark.createDataFrame([("example.org/es/", "block"), ("com/fr/", "block"), ("deep.a.b.c.example.org/", "block")], "key string, verdict string"), "key", "verdict")
+    got = {r["page_id"]: r for r in url_filters.judge(pages, listed).collect()}
+    assert [got[i]["rule"] for i in range(3)] == ["example.org/es/", None, "com/fr/"] and [got[i]["path"] for i in range(3)] == paths and [got[i]["host"] for i in range(3)] == hosts
+
+
 def test_bloom_never_misses():
     h = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 20_000)
     bloom = url_filters.BlockedBloom.sized(10_000)

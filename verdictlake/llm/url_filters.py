@@ -1,17 +1,19 @@
 """URL rules and lists behind a blocked Bloom filter.
 
-A listed key is a host and a path prefix (``example.org/es/``). A URL has as candidates each suffix of its host at a
-label border with each prefix of its path whose length some listed path has. The Bloom filter holds the listed keys,
+A listed key is a host and a path prefix (``example.org/es/``). Its form is its host's number of labels and its path's
+length. A URL has one candidate for each form that some listed key has: so many last labels of its host with so many first
+characters of its path, whatever its own length. The Bloom filter holds the listed keys,
 cut into blocks of 512 bits: a key's hash picks one block and sets ``PROBES`` bits in it, so that a test touches one
-cache line. Only candidates that the filter passes go on to an exact join with the list, which removes its false
-positives; of the listed keys that fit, the longest decides. A URL that none fits gets the default verdict.
+cache line. Only URLs with a candidate that the filter passes go on to an exact join with the list, which removes its false
+positives; the others are never shuffled. Of the listed keys that fit, the longest decides. A URL that none fits gets the
+default verdict.
 
 The filter is sent to the tasks and is ``most_bits`` at most: a longer list raises the share of false positives, not
-its size. The join is by broadcast up to ``most_broadcast`` listed keys, beyond it by shuffle with the hot keys' rows
+its size. The join is by broadcast up to ``most_broadcast`` listed keys of together ``most_broadcast_bytes``, beyond it by shuffle with the hot keys' rows
 dealt out over ``salts`` copies of the list.
 
-Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; repeated rows are
-judged alike; equal keys with different verdicts resolve to block; of equally long keys the longer host wins; a rule
+Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; very long hosts and paths
+are judged whole; repeated rows are judged alike; a null id stays null; equal keys with different verdicts resolve to block; of equally long keys the longer host wins; a rule
 without "/" has an empty path and fits all paths; empty tables give empty results; further columns are left out.
 """
 
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BLOCK_BITS, PROBES = 512, 8
 
 
@@ -90,35 +94,43 @@ def filter_of(rules: DataFrame, n: int, **sizes) -> BlockedBloom:
     return bloom
 
 
-def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow", most_broadcast: int = 100_000, salts: int = 32, **sizes) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow", most_broadcast: int = 100_000, most_broadcast_bytes: int = 16 << 20, salts: int = 32, **sizes) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. rules: from listed()."""
     spark = pages.sparkSession
-    about = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path"))).first()
-    n, lengths = about[0], sorted(about[1] or [])
-    bloom = spark.sparkContext.broadcast(filter_of(rules, n, **sizes))
+    # Forms of listed keys: labels of the host and length of the path. Their number is set by the list's longest key.
+    forms = rules.select((F.length("rule_host") - F.length(F.replace("rule_host", F.lit("."))) + 1).alias("labels"), F.length("rule_path").alias("chars"))
+    forms = sorted((r["labels"], r["chars"], r["n"]) for r in forms.groupBy("labels", "chars").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(f[2] for f in forms)
     urls = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p"), F.xxhash64(s, p).alias("x")))))
-    urls = urls.withColumn("candidates", F.when(F.col("host") == "", F.array().cast("array<struct<h:string,p:string,x:bigint>>")).otherwise(pairs))
+    if not n:
+        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    bloom = spark.sparkContext.broadcast(filter_of(rules, n, **sizes))
 
     @F.pandas_udf("array<boolean>")
     def passes(hashes: pd.Series) -> pd.Series:
-        sizes_ = hashes.map(len).to_numpy()
+        many = hashes.map(len).to_numpy()
         flat = np.concatenate([*hashes.to_numpy(), np.zeros(0, np.int64)]).astype(np.int64)
-        return pd.Series(np.split(bloom.value.test(flat), np.cumsum(sizes_)[:-1])) if len(hashes) else pd.Series([], dtype=object)
-
-    urls = urls.withColumn("uid", F.monotonically_increasing_id()).withColumn("hits", passes(F.transform("candidates", lambda c: c["x"])))
-    kept = F.filter(F.arrays_zip("candidates", "hits"), lambda c: c["hits"])
-    hits = urls.select("uid", "page_id", "host", "path", F.explode_outer(F.transform(kept, lambda c: c["candidates"])).alias("c"))
-    hits = hits.select("uid", "page_id", "host", "path", F.col("c.h").alias("rule_host"), F.col("c.p").alias("rule_path"), F.col("c.x").alias("rule_hash"))
+        return pd.Series(np.split(bloom.value.test(flat), np.cumsum(many)[:-1])) if len(hashes) else pd.Series([], dtype=object)
+
+    # A URL has at most one candidate of each form: its host's last labels and its path's first characters.
+    asked = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k, _ in forms])
+    own = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    asked = F.filter(asked, lambda f: (f["m"] <= own) & (f["k"] <= F.length("path")) & (F.col("host") != ""))
+    tail, start = (lambda f: F.call_function("substring_index", "host", F.lit("."), -f["m"])), (lambda f: F.substring("path", F.lit(1), f["k"]))
+    urls = urls.withColumn("candidates", F.transform(asked, lambda f: F.struct(f["m"].alias("m"), f["k"].alias("k"), F.xxhash64(tail(f), start(f)).alias("x"))))
+    urls = urls.withColumn("hits", passes(F.transform("candidates", lambda c: c["x"])))
+    kept = F.transform(F.filter(F.arrays_zip("candidates", "hits"), lambda c: c["hits"]), lambda c: c["candidates"])
+    urls = staged(urls.select("page_id", "host", "path", kept.alias("hits")), "urls")
+    clear = urls.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("struct<n:int,m:int,rule:string,verdict:string>").alias("best"))
+    hits = urls.where(F.size("hits") > 0).withColumn("uid", F.monotonically_increasing_id()).select("uid", "page_id", "host", "path", F.explode("hits").alias("c"))
+    hits = hits.select("uid", "page_id", "host", "path", tail(F.col("c")).alias("rule_host"), start(F.col("c")).alias("rule_path"), F.col("c.x").alias("rule_hash"))
     on = ["rule_hash", "rule_host", "rule_path"]
-    if n <= most_broadcast:
+    if n <= most_broadcast and sum(f[2] * (16 * f[0] + 4 * f[1]) for f in forms) <= most_broadcast_bytes:
         exact = hits.join(F.broadcast(rules), on, "left")
     else:
         copies = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         exact = hits.withColumn("salt", F.pmod("uid", F.lit(salts)).cast("int")).join(copies, [*on, "salt"], "left")
     fits = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = exact.groupBy("uid", "page_id", "host", "path").agg(F.max(F.when(F.col("rule_verdict").isNotNull(), fits)).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = exact.groupBy("uid").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("rule_verdict").isNotNull(), fits)).alias("best"))
+    both = clear.unionByName(best.select("page_id", "host", "path", "best"))
+    return both.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
