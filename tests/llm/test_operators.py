@@ -306,6 +306,16 @@ def test_warc_round_trip(spark):
     assert warc.capture_histories(pages.where("page_id > 99")).count() == 0
 
 
+def test_captures_without_ids(spark):
+    rows = [(None, "a" * 150), (3, "a" * 150), (None, "b" * 150), (None, "b" * 150), (4, "a" * 150), (None, "c" * 20), (5, "c" * 20), (6, None), (None, None)]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id bigint, url string, html string")
+    got = collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.capture_histories(pages).collect())
+    want = [(None, 150, "revisit", 3), (3, 150, "response", None), (4, 150, "revisit", 3), *[(None, 150, "response", None)] * 2, *[(i, 20, "response", None) for i in (None, 5)], *[(i, 0, "response", None) for i in (6, None)]]
+    assert got == collections.Counter(want)
+    blank = warc.capture_histories(pages.where("html is null")).collect()
+    assert len(blank) == 2 and {r["payload_digest"] for r in blank} == {hashlib.sha256(b"").hexdigest()}
+
+
 def test_runs_merge_in_several_passes(spark):
     folder = new_dir(spark, "t-warc")
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i % 3}", f"p{i}", "d", None, f"2020-01-01T00:00:{i % 60:02d}Z") for i in range(500)], "page_id bigint, url string, payload string, digest string, refers_to bigint, captured string").repartition(6)
@@ -314,6 +324,9 @@ def test_runs_merge_in_several_passes(spark):
     rows = sorted(warc.merge_runs(runs, folder, fan_in=4, captures_a_range=60).collect(), key=lambda r: (r["part"], r["place"]))
     keys = [(r["url_key"], r["captured"], r["page_id"]) for r in rows]
     assert len(keys) == 500 and keys == sorted(keys)
+    one = spark.createDataFrame([(i, "http://same.org/", "p", "d", None, "2020-01-01T00:00:00Z") for i in range(300)], "page_id bigint, url string, payload string, digest string, refers_to bigint, captured string").repartition(5)
+    rows = warc.merge_runs(warc.write_archives(one.withColumn("digest", F.sha2("payload", 256)), folder, captures_a_file=15), folder, fan_in=3, captures_a_range=20).collect()
+    assert [r["page_id"] for r in sorted(rows, key=lambda r: (r["part"], r["place"]))] == list(range(300)) and max(collections.Counter(r["part"] for r in rows).values()) < 100
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])

@@ -6,16 +6,19 @@ returned are known, so files of lost or repeated attempts are never read. Of cap
 ``least_bytes`` the one with the smallest id is a response, the others are revisit records without payload.
 
 Merging: runs are merged ``fan_in`` at a time by a loser tree that holds one entry a run, pass by pass, until one pass
-suffices; that last pass is cut into key ranges, each of which seeks in every run to its start. The ranges in order are
-the globally ordered capture histories. Memory is one entry and one read buffer a run, whatever the sizes.
-
-Defined results: a null payload is empty; a null URL has an empty key and comes first; rows with equal ids are written
-as often as they occur, of equal payloads each row with the smallest id is a response; an empty table gives no archives
-and an empty result; other columns are not looked at.
+suffices. Every pass is cut into key ranges, each a task that seeks in every run to its start, so that no pass has fewer
+tasks than ranges. The last pass's ranges in order are the globally ordered capture histories. A task holds one entry and
+one read buffer a run; places to cut at come from a few marks a run, kept in a table and read a group at a time.
+
+Defined results: a null payload is empty; a null URL has an empty key and comes first; a payload of any length is one
+record; rows with equal ids are written as often as they occur, of equal payloads each row with the smallest id is a
+response; a row without an id is a revisit where some row of its payload has one, else a response; an empty table gives no
+archives and an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
 import json
@@ -23,14 +26,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir, staged
+from .common import drop_staged, new_dir, staged
 
 RUNS = "archive string, run string, captures bigint, marks string"
+SEGMENTS = "run_no bigint, segment int, path string, captures bigint, marks string"
 HISTORY = "part int, place bigint, url_key string, captured string, page_id bigint, archive string, offset bigint"
 RECORDS = "archive string, offset bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -165,49 +171,76 @@ def write_archives(pages: DataFrame, folder: str, captures_a_file: int = 20_000,
     return staged(pages.mapInArrow(write, RUNS), "warc-runs")
 
 
+def ranges_of(group: pd.DataFrame, captures_a_range: int) -> list[tuple[str, str, str]]:
+    """low, high and, as JSON, per run the (segment, byte offset) pairs to read: the work of merging the group's runs."""
+    runs: dict[int, list[tuple[str, list]]] = {}
+    weighed: list[tuple[tuple, float]] = []
+    for r in group.sort_values(["run_no", "segment"]).itertuples():
+        marks = [(tuple(key), at) for key, at in json.loads(r.marks)]
+        if marks:
+            runs.setdefault(r.run_no, []).append((r.path, marks))
+            weighed += [(key, r.captures / len(marks)) for key, _ in marks]
+    weighed.sort()
+    n = max(1, -(-int(group["captures"].sum()) // captures_a_range))
+    before = np.cumsum([0.0, *(w for _, w in weighed)])
+    places = np.searchsorted(before, before[-1] * np.arange(1, n) / n)
+    cuts = sorted({weighed[i][0] for i in places if i < len(weighed)})
+    out = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        sources = []
+        for segments in runs.values():
+            begins = [marks[0][0] for _, marks in segments]
+            first = max(bisect.bisect_left(begins, low) - 1, 0) if low is not None else 0
+            last = bisect.bisect_left(begins, high) if high is not None else len(segments)
+            start = max((at for key, at in segments[first][1] if low is not None and key < low), default=0)
+            sources.append([(path, 0) for path, _ in segments[first:last]])
+            if sources[-1]:
+                sources[-1][0] = (sources[-1][0][0], start)
+        out.append((json.dumps(low), json.dumps(high), json.dumps([s for s in sources if s])))
+    return out
+
+
+def merged_range(low: str, high: str, sources: str) -> Iterator[tuple]:
+    """The entries of a range in order, out of every run's segments."""
+    low, high = (tuple(key) if key else None for key in (json.loads(low), json.loads(high)))
+
+    def of_run(segments: list) -> Iterator[tuple]:
+        for path, start in segments:
+            for e in run_lines(path, start):
+                if high is not None and e[:3] >= high:
+                    return
+                if low is None or e[:3] >= low:
+                    yield e
+
+    return iter(LoserTree([of_run(s) for s in json.loads(sources)]))
+
+
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = 64, captures_a_range: int = 50_000) -> DataFrame:
-    """All captures, ordered by (part, place)."""
+    """All captures, ordered by (part, place). Every pass merges at most fan_in runs in each group and is cut into key
+    ranges; a merged run is the sequence of its ranges' segments. Runs, segments and marks stay in tables."""
     spark = runs.sparkSession
-    known = [(r["run"], r["captures"], r["marks"]) for r in runs.select("run", "captures", "marks").toLocalIterator()]
-    while len(known) > fan_in:
-        groups = [(i, [k[0] for k in known[at : at + fan_in]]) for i, at in enumerate(range(0, len(known), fan_in))]
-
-        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    path = f"{folder}/{uuid.uuid4().hex}.run"
-                    n, marks = write_run(iter(LoserTree([run_lines(p) for p in row["paths"]])), path)
-                    yield pa.RecordBatch.from_pydict({"archive": [""], "run": [path], "captures": [n], "marks": [marks]})
-
-        work = spark.createDataFrame(groups, "part int, paths array<string>").repartition(len(groups))
-        known = [(r["run"], r["captures"], r["marks"]) for r in staged(work.mapInArrow(merged, RUNS), "warc-runs").toLocalIterator()]
-    total = sum(k[1] for k in known)
-    if not total:
+    n = runs.count()
+    if not n:
         return spark.createDataFrame([], HISTORY)
-    marks = [(k[0], [(tuple(key), at) for key, at in json.loads(k[2])]) for k in known]
-    keys = sorted(key for _, ms in marks for key, _ in ms)
-    n = max(1, min(-(-total // captures_a_range), len(keys)))
-    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)})
-    tasks = []
-    for part, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        starts = [max((at for key, at in ms if low is None or key < low), default=0) if low is not None else 0 for _, ms in marks]
-        tasks.append((part, json.dumps(low), json.dumps(high), [p for p, _ in marks], starts))
+    number = F.row_number().over(Window.orderBy("run")) - 1  # one thin row an archive
+    segments = staged(runs.select(number.cast("long").alias("run_no"), F.lit(0).alias("segment"), F.col("run").alias("path"), "captures", "marks"), "warc-segments")
+
+    def plan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = ranges_of(group, captures_a_range)
+        return pd.DataFrame({"run_no": key[0], "part": range(len(rows)), "low": [r[0] for r in rows], "high": [r[1] for r in rows], "sources": [r[2] for r in rows]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                low, high = json.loads(row["low"]), json.loads(row["high"])
-                low, high = low and tuple(low), high and tuple(high)
-
-                def slice_of(path: str, start: int, low=low, high=high) -> Iterator[tuple]:
-                    for e in run_lines(path, start):
-                        if high is not None and e[:3] >= high:
-                            return
-                        if low is None or e[:3] >= low:
-                            yield e
+                path = f"{folder}/{uuid.uuid4().hex}.run"
+                captures, marks = write_run(merged_range(row["low"], row["high"], row["sources"]), path, marks=4)
+                yield pa.RecordBatch.from_pydict({"run_no": pa.array([row["run_no"]], pa.int64()), "segment": pa.array([row["part"]], pa.int32()), "path": [path], "captures": [captures], "marks": [marks]})
 
+    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
                 out: list[tuple] = []
-                for i, e in enumerate(LoserTree([slice_of(p, s) for p, s in zip(row["paths"], row["starts"], strict=True)])):
+                for i, e in enumerate(merged_range(row["low"], row["high"], row["sources"])):
                     out.append((row["part"], i, e[0], e[1], None if e[2] < 0 else e[2], e[3], e[4]))
                     if len(out) == 8192:
                         yield history_batch(out)
@@ -215,8 +248,15 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = 64, captures_a_range:
                 if out:
                     yield history_batch(out)
 
-    work = spark.createDataFrame(tasks, "part int, low string, high string, paths array<string>, starts array<bigint>").repartition(len(tasks))
-    return work.mapInArrow(merge, HISTORY)
+    while True:
+        grouped = segments.withColumn("group", F.floor(F.col("run_no") / fan_in).cast("long")).groupBy("group")
+        work = staged(grouped.applyInPandas(plan, "run_no bigint, part int, low string, high string, sources string"), "warc-plan")
+        work = work.repartition(max(1, work.count()))
+        if n <= fan_in:
+            return work.mapInArrow(histories, HISTORY)
+        merged = staged(work.mapInArrow(merge, SEGMENTS), "warc-segments")
+        drop_staged(segments)
+        segments, n = merged, -(-n // fan_in)
 
 
 def history_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -283,7 +323,7 @@ def capture_histories(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     own = own.withColumns({"digest": F.sha2("payload", 256), "captured": F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
     first = own.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("same")).where("same > 1").select("digest", "first_id")
-    own = own.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id"))).drop("first_id")
+    own = own.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("first_id") != F.col("page_id")), F.col("first_id"))).drop("first_id")
     runs = write_archives(own, folder)
     history = merge_runs(runs, folder)
     records = read_archives(runs)
