@@ -50,7 +50,27 @@ def test_shards_round_trip_versions_and_conflicts(spark, docs):
         store._commit(last - 1, [], [], None)
     with pytest.raises(ValueError):
         store.append(docs.select("doc_id"))
-    assert store.vacuum(1) > 0 and key(store.read()) == sorted(key(docs) * 5)
+    assert store.vacuum(1) == 0 and len(store.versions()) == 1  # files are young
+    assert store.vacuum(1, least_age=0) > 0 and key(store.read()) == sorted(key(docs) * 5)
+    with pytest.raises(ValueError):
+        store.read(2)
+    store.append(docs)
+    store.append(docs)
+    store.vacuum(2, least_age=0)
+    assert all(store.read(v).count() for v in store.versions()) and key(store.read()) == sorted(key(docs) * 7)
+
+
+def test_ingest_takes_the_frame_and_compacts(spark, docs, tmp_path):
+    docs.withColumn("arrival", F.lit("x")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    frame = spark.read.parquet(str(tmp_path / "one")).where("doc_id > 4 or doc_id is null")
+    for rows in (frame, frame.where("false"), docs.limit(1)):
+        store = sharding.ShardStore(spark, new_dir(spark, "t-ingest"))
+        merged, commit = [], store._commit
+        store._commit = lambda base, added, removed, schema, whole=False, c=commit, m=merged: (m.append(len(removed)), c(base, added, removed, schema, whole))[1]
+        got = sharding.ingest(store, rows)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.columns == rows.columns
+        if rows is frame:
+            assert sum(m > 1 for m in merged) >= 2 and len(store.state()[0]) < 8
 
 
 def test_shard_plan_merges_like_sizes_only(spark):

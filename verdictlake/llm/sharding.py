@@ -6,9 +6,9 @@ merged, smallest first, into files of about ``target_bytes``; every merge reads
 shuffles nothing (one task a merged file). Each append and each compaction becomes visible by one manifest file
 ``manifest/<version>.json`` that is renamed into place and fails if that version exists, so of two writers one wins
 and the other raises. A manifest holds what its version adds and removes, each tenth one the whole list. Readers
-see one version; files that no kept version lists are removed by ``vacuum``.
+see one version; ``vacuum`` drops old versions with the files that only they list.
 
-Defined results: nulls and empty or long texts are plain values; repeated rows stay repeated; an empty arrival adds no
+Defined results: nulls, empty and very long texts, ties and clashing names are plain values and names; repeated rows stay repeated; an empty arrival adds no
 shard but a version; columns keep their names whatever they are; an arrival with another schema is refused.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -76,10 +77,10 @@ class ShardStore:
             schema = entry["schema"] or schema
         return shards, schema
 
-    def _commit(self, base: int, added: list[Shard], removed: list[str], schema: str | None) -> int:
+    def _commit(self, base: int, added: list[Shard], removed: list[str], schema: str | None, whole: bool = False) -> int:
         version = base + 1
         entry = {"version": version, "whole": False, "schema": schema, "removed": removed, "added": [asdict(s) for s in added]}
-        if version % 10 == 0:
+        if whole or version % 10 == 0:
             shards, old = self.state(base)
             kept = {k: s for k, s in shards.items() if k not in set(removed)} | {s.path: s for s in added}
             entry |= {"whole": True, "schema": schema or old, "removed": [], "added": [asdict(s) for s in kept.values()]}
@@ -110,17 +111,26 @@ class ShardStore:
         return [Shard(*sizes[name], rows[name]) for name in sorted(sizes) if rows.get(name)]
 
     # writing
-    def append(self, df: DataFrame) -> int:
-        """Add an arrival as small shards and commit it."""
+    def append(self, df: DataFrame, landed: str | None = None) -> int:
+        """Add an arrival as small shards and commit it. ``landed``: a folder that a finished job wrote df's rows to."""
         base = max(self.versions(), default=0)
         schema = df.schema.json()
         old = self.state()[1] if base else None
         if old and [(f.name, f.dataType) for f in StructType.fromJson(json.loads(old)).fields] != [(f.name, f.dataType) for f in df.schema.fields]:
             raise ValueError("the arrival's columns differ from the store's")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        if landed is None:
+            df.write.parquet(folder)
+        else:
+            self._rename(landed, folder)
         return self._commit(base, self._written(folder, df.schema), [], None if old else schema)
 
+    def _rename(self, source: str, target: str) -> None:
+        fs, p = hadoop(self.spark, target)
+        fs.mkdirs(p.getParent())
+        if not fs.rename(hadoop(self.spark, source)[1], p):
+            raise RuntimeError(f"{source} cannot be moved to {target}")
+
     def tier(self, size: int) -> int:
         return 0 if size < self.least_bytes else 1 + int(math.log(size / self.least_bytes, self.fanout))
 
@@ -176,25 +186,58 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*sorted(shards))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete data files that none of the last keep versions lists. Returns how many."""
-        known = self.versions()
-        listed = {p for v in known[-keep:] for p in self.state(v)[0]}
+    def vacuum(self, keep: int = 1, least_age: float = 86_400.0) -> int:
+        """Drop versions before the last ``keep`` and delete files that no version left lists. Returns how many.
+
+        A whole manifest that repeats the last version is committed first; the versions kept are it and those from the
+        last whole manifest before the others on, so that every manifest that stays can be read with all its files.
+        Files younger than ``least_age`` seconds stay, as a writer may not have committed them yet.
+        """
+        last = self.versions()[-1:]
+        if not last:
+            return 0
+        if keep <= 1:
+            known = [self._commit(last[0], [], [], None, whole=True)]
+        else:
+            known = self.versions()
+            whole = [v for v in known[: len(known) - keep + 1] if self._load(v)["whole"]] or known[:1]
+            known = [v for v in known if v >= whole[-1]]
+        fs, p = hadoop(self.spark, f"{self.root}/manifest")
+        old = [v for v in self.versions() if v < known[0]]
+        listed = {path for v in known for path in self.state(v)[0]}
+        for v in old:
+            fs.delete(hadoop(self.spark, f"{self.root}/manifest/{v:012d}.json")[1], False)
         fs, p = hadoop(self.spark, f"{self.root}/data")
-        gone = 0
+        gone, now = 0, time.time() * 1000
         for folder in fs.listStatus(p) if fs.exists(p) else []:
             for f in fs.listStatus(folder.getPath()):
-                if f.getPath().getName().endswith(".parquet") and f.getPath().toString() not in listed:
+                if f.getPath().getName().endswith(".parquet") and f.getPath().toString() not in listed and now - f.getModificationTime() >= least_age * 1000:
                     gone += fs.delete(f.getPath(), False)
         return gone
 
 
-def ingest(store: ShardStore, docs: DataFrame, arrivals: int = 4) -> DataFrame:
-    """Append a table's files as arrivals in turn, compact after each, and return the last version's rows."""
-    files = sorted(docs.inputFiles())
-    step = max(1, math.ceil(len(files) / arrivals))
-    for at in range(0, len(files), step):
-        store.append(store.spark.read.schema(docs.schema).parquet(*files[at : at + step]))
-        store.compact()
-        store.vacuum(1)
-    return store.read() if files else docs
+def ingest(store: ShardStore, docs: DataFrame, arrivals: int | None = None) -> DataFrame:
+    """Append the rows of docs as arrivals in turn (twice the fan-out unless given), compact after each, and return the last
+    version's rows. One job writes all arrivals, row by row in turn, to folders of their own; each becomes an append by
+    moving its folder. The store must be this call's own, as files without a version are deleted at once."""
+    spark, n = store.spark, arrivals or 2 * store.fanout
+    column = "arrival"
+    while column in docs.columns:
+        column += "_"
+    landing = f"{store.root}/landing/{uuid.uuid4().hex}"
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(n))  # so many open files a task instead of a sort
+    try:
+        docs.withColumn(column, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).write.partitionBy(column).parquet(landing)
+    finally:
+        spark.conf.set(key, usual)
+    nothing = spark.createDataFrame([], docs.schema)
+    store.append(nothing)  # so that an empty table has a version, too
+    for i in range(n):
+        fs, p = hadoop(spark, f"{landing}/{column}={i}")
+        if fs.exists(p):
+            store.append(nothing, landed=p.toString())
+            store.compact()
+            store.vacuum(least_age=0)
+    return store.read()
