@@ -1,14 +1,20 @@
 """Mixing sources to target token counts by entropy balancing, with DataFrame operations only.
 
-Of all document rates r, the mix takes those nearest to the base rates (sum of size * r * log(r / base), size weighted)
-under one token constraint a source: the sizes times r of a source sum to its target, r at most ``most``. The convex
-dual has one multiplier a source, rates are base * exp(multiplier) cut at ``most``, and every Newton iteration is one
-aggregation over the (source, base) cells that the documents were summed to beforehand. Rates become whole copies by
-systematic rounding along a source's documents in order of size: copies up to any document differ from the rates up to
-it by less than one, so a source's words miss its target by less than its longest document.
-
-Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take
-no words; repeated rows are separate documents; an empty table gives an empty mix; other columns are carried along.
+Of all document rates r, the mix takes those nearest to the base rates in divergence, the sum over documents of
+r * log(r / base) - r, under one token constraint a source: sizes times r sum to the source's target, r at most ``most``.
+The solution tilts every document exponentially, r = base * exp(multiplier * size), cut at ``most``; the convex dual has one
+multiplier a source and is solved by Newton's method, kept within a bracket. Every iteration is one aggregation over the
+(source, base, size) cells that the documents were counted into beforehand.
+
+Rates become whole copies by words: along a source's cells from the largest documents to the smallest, each cell
+takes the number of copies that comes nearest to the words wanted up to it, as long as the smaller documents left can make up for
+what it misses; a source misses its target by half its smallest document, or by what its few documents do not allow. Within a
+cell, whose documents are of one size and rate, copies differ by one at most. The running sum has one step a distinct size.
+
+Defined results: a null text has size 0; documents of size 0 take no words and are taken as often as their base rate,
+rounded; a null source is a source of its own, last in order; very long texts are counted whole; of documents of one size the
+first by id take the odd copies (a null id first, then by the whole row's hash, beyond ``rows_a_bucket`` of one size by the
+hash first); repeated rows are separate documents; an empty table gives an empty mix; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -19,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import drop_staged, staged, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Start of the systematic rounding, away from ties of simple rates.
-START = 0.3819660112501051
 
 
 def word_count(name: str = "text") -> Column:
@@ -44,56 +48,97 @@ def targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
     return level.select("mx_source", "mx_place", "mx_size", target.alias("mx_target"))
 
 
-def balance(cells: DataFrame, goals: DataFrame, most: float = 2.0, tolerance: float = 1e-12, iterations: int = 60) -> DataFrame:
-    """Newton on the dual. cells: mx_place, mx_base, mx_cell (words); goals: mx_place, mx_target. Returns mx_lambda a goal.
-
-    Along exp(lambda) the words taken are concave and, between the points at which cells reach ``most``, linear. From a
-    start where no cell is cut, steps of gap over slope along it therefore never pass the solution and end there.
-    """
-    start = cells.groupBy("mx_place").agg((F.log(F.lit(float(most)) / F.max("mx_base")) - F.log(F.lit(2.0))).alias("mx_lambda"))
-    state = staged(goals.join(start, "mx_place"), "mix-dual")
+def balance(cells: DataFrame, goals: DataFrame, most: float = 2.0, tolerance: float = 1e-12, iterations: int = 80) -> DataFrame:
+    """Newton on the dual. cells: mx_place, mx_base, mx_size (above 0), mx_n; goals: mx_place, mx_target. Returns mx_place,
+    mx_scale (mean size) and mx_lambda a goal that has cells: rates are mx_base * exp(mx_lambda * mx_size / mx_scale)."""
+    scale = F.sum(F.col("mx_size") * F.col("mx_n")) / F.sum("mx_n")
+    about = cells.groupBy("mx_place").agg(scale.alias("mx_scale"), F.min("mx_size").alias("mx_least"), F.min("mx_base").alias("mx_low"), F.max("mx_base").alias("mx_high"))
+    x = F.col("mx_least") / F.col("mx_scale")
+    ends = [(-(F.log("mx_high") + 50) / x).alias("mx_from"), ((F.log(F.lit(float(most)) / F.col("mx_low")) + 1) / x).alias("mx_to")]
+    state = staged(goals.join(about, "mx_place").select("mx_place", "mx_target", "mx_scale", *ends, F.lit(0.0).alias("mx_lambda")), "mix-dual")
     for _ in range(iterations):
-        raw = F.col("mx_base") * F.exp("mx_lambda")
-        step = cells.join(state, "mx_place").groupBy("mx_place").agg(
-            F.first("mx_target").alias("mx_target"), F.first("mx_lambda").alias("mx_lambda"),
-            F.sum(F.col("mx_cell") * F.least(raw, F.lit(float(most)))).alias("mx_now"), F.sum(F.when(raw < most, F.col("mx_cell") * raw).otherwise(0.0)).alias("mx_slope"),
+        tilt = F.col("mx_size") / F.col("mx_scale")
+        raw = F.col("mx_base") * F.exp(F.least(F.lit(700.0), F.col("mx_lambda") * tilt))
+        words = F.col("mx_n") * F.col("mx_size")
+        step = cells.join(F.broadcast(state), "mx_place").groupBy("mx_place", "mx_target", "mx_scale", "mx_from", "mx_to", "mx_lambda").agg(  # one row a source
+            F.sum(words * F.least(raw, F.lit(float(most)))).alias("mx_now"), F.sum(F.when(raw < most, words * tilt * raw).otherwise(0.0)).alias("mx_slope"),
         )
-        gap = F.col("mx_target") - F.col("mx_now")
-        move = F.when((F.col("mx_slope") > 0) & (F.col("mx_slope") + gap > 0), F.log((F.col("mx_slope") + gap) / F.greatest("mx_slope", F.lit(1e-300)))).when(gap < 0, F.lit(-700.0)).otherwise(0.0)
-        step = staged(step.select("mx_place", "mx_target", (F.col("mx_lambda") + move).alias("mx_lambda"), F.abs(gap).alias("mx_gap")), "mix-dual")
-        worst = step.agg(F.max(F.col("mx_gap") / F.greatest("mx_target", F.lit(1.0)))).first()[0]
+        step = step.withColumn("mx_gap", F.col("mx_target") - F.col("mx_now")).withColumn("mx_there", F.abs("mx_gap") <= tolerance * F.greatest("mx_target", F.lit(1.0)))
+        step = step.withColumns({"mx_from": F.when(F.col("mx_gap") > 0, F.col("mx_lambda")).otherwise(F.col("mx_from")), "mx_to": F.when(F.col("mx_gap") > 0, F.col("mx_to")).otherwise(F.col("mx_lambda"))})
+        newton = F.col("mx_lambda") + F.col("mx_gap") / F.nullif("mx_slope", F.lit(0.0))
+        moved = F.when(F.col("mx_there"), F.col("mx_lambda")).when((newton > F.col("mx_from")) & (newton < F.col("mx_to")), newton).otherwise((F.col("mx_from") + F.col("mx_to")) / 2)
+        step = staged(step.select("mx_place", "mx_target", "mx_scale", "mx_from", "mx_to", moved.alias("mx_lambda"), "mx_there"), "mix-dual")
+        open_ = step.where(~F.col("mx_there")).limit(1).count()
         drop_staged(state)
-        state = step
-        if worst is None or worst <= tolerance:
+        state = step.drop("mx_there")
+        if not open_:
             break
-    return state.select("mx_place", "mx_lambda")
-
-
-def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", base: Column | None = None, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, buckets: int = 64) -> DataFrame:
+    return state.select("mx_place", "mx_scale", "mx_lambda")
+
+
+def whole_copies(cells: DataFrame, most: float, chunk: int = 256) -> DataFrame:
+    """cells (mx_place, mx_base, mx_size, mx_n, mx_rate) with mx_all, the copies of each: a running sum from the largest
+    size down, in chunks, so that the arrays it builds up stay short."""
+    listed = cells.groupBy("mx_place").agg(F.sort_array(F.collect_list(F.struct("mx_size", "mx_base", "mx_n", "mx_rate")), asc=False).alias("cs"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("cs") - 1) / chunk).cast("int")), lambda i: F.slice("cs", i * chunk + 1, F.lit(chunk)))
+
+    # State: words owed so far; words wanted and words there are (times most) in the cells still to come.
+    def take(a: Column, c: Column) -> Column:
+        wanted, there = c["mx_n"] * c["mx_rate"] * c["mx_size"], c["mx_n"] * c["mx_size"] * F.lit(float(int(most)))
+        want, later, room = a["owed"] + wanted, a["later"] - wanted, a["room"] - there
+        near = F.floor(want / c["mx_size"] + 0.5)
+        # Not so few that the rest cannot make up for it, nor so many; where neither can be, the nearest.
+        least, top = F.ceil((want + later - room) / c["mx_size"] - 1e-6), F.floor((want + later) / c["mx_size"] + 1e-6)
+        k = F.when(least <= top, F.greatest(least, F.least(near, top))).otherwise(near)
+        k = F.greatest(F.lit(0).cast("long"), F.least(k, c["mx_n"] * F.lit(int(most))))
+        return F.struct((want - k * c["mx_size"]).alias("owed"), later.alias("later"), room.alias("room"), F.concat(a["ks"], F.array(k)).alias("ks"))
+
+    def take_chunk(a: Column, cs: Column) -> Column:
+        begin = F.struct(*[a[f].alias(f) for f in ("owed", "later", "room")], F.array().cast("array<bigint>").alias("ks"))
+        return F.aggregate(cs, begin, take, lambda s: F.struct(*[s[f].alias(f) for f in ("owed", "later", "room")], F.concat(a["kss"], F.array(s["ks"])).alias("kss")))
+
+    words = lambda by: F.aggregate("cs", F.lit(0.0), lambda a, c: a + c["mx_n"] * by(c) * c["mx_size"])
+    listed = listed.withColumns({"later": words(lambda c: c["mx_rate"]), "room": words(lambda c: F.lit(float(int(most))))})
+    start = F.struct(F.lit(0.0).alias("owed"), F.col("later"), F.col("room"), F.array().cast("array<array<bigint>>").alias("kss"))
+    taken = F.flatten(F.aggregate(chunks, start, take_chunk, lambda s: s["kss"]))
+    rows = listed.select("mx_place", F.explode(F.arrays_zip("cs", taken.alias("ks"))).alias("c"))
+    return rows.select("mx_place", "c.cs.mx_size", "c.cs.mx_base", "c.cs.mx_n", F.col("c.ks").alias("mx_all"))
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", base: Column | None = None, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, rows_a_bucket: int = 50_000) -> DataFrame:
     """The documents' rows (mx_row) with mx_size, mx_source_size, mx_target and mx_copies (0 to most). Sources are
     compared as "a" and their name, a null source as "b", which puts it last."""
-    own = docs.select(F.struct("*").alias("mx_row"), F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b")).alias("mx_source"), size.alias("mx_size"), (F.lit(1.0) if base is None else base).alias("mx_base"), F.pmod(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.lit(buckets)).alias("mx_bucket"), F.col(doc_id).alias("mx_id"))
-    keys = ["mx_source", "mx_base", "mx_size", "mx_bucket"]
-    counts = staged(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("mx_n")), "mix-counts")
-    cells = counts.groupBy("mx_source", "mx_base").agg(F.sum(F.col("mx_size") * F.col("mx_n")).alias("mx_cell"))
-    goals = staged(targets(cells.groupBy("mx_source").agg(F.sum("mx_cell").alias("mx_size")), weights, share, most).withColumnRenamed("mx_size", "mx_source_size"), "mix-goals")
-    placed = staged(cells.join(goals, "mx_source"), "mix-cells")
-    dual = balance(placed.select("mx_place", "mx_base", "mx_cell"), goals.select("mx_place", "mx_target"), most)
-    rates = placed.join(dual, "mx_place").select(
-        "mx_source", "mx_base", "mx_source_size", "mx_target",
-        F.when(F.col("mx_cell") > 0, F.least(F.lit(float(most)), F.col("mx_base") * F.exp("mx_lambda"))).otherwise(0.0).alias("mx_rate"),
+    own = docs.select(
+        F.struct("*").alias("mx_row"), F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b")).alias("mx_source"), size.cast("long").alias("mx_size"),
+        (F.lit(1.0) if base is None else base.cast("double")).alias("mx_base"), F.col(doc_id).alias("mx_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mx_hash"),
     )
-    # The place of a document along its cell: sizes before its size, then buckets of its size, then its bucket.
-    by_size = counts.groupBy("mx_source", "mx_base", "mx_size").agg(F.sum("mx_n").alias("mx_n"))
-    along = Window.partitionBy("mx_source", "mx_base").orderBy("mx_size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("mx_source", "mx_base", "mx_size", F.coalesce(F.sum("mx_n").over(along), F.lit(0)).alias("mx_sizes_before"))
-    within = Window.partitionBy("mx_source", "mx_base", "mx_size").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("mx_buckets_before", F.coalesce(F.sum("mx_n").over(within), F.lit(0)))
-    offsets = offsets.join(by_size, ["mx_source", "mx_base", "mx_size"]).join(rates, ["mx_source", "mx_base"])
-    offsets = offsets.select(*keys, (F.col("mx_sizes_before") + F.col("mx_buckets_before")).alias("mx_before"), "mx_rate", "mx_source_size", "mx_target")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("mx_id").asc_nulls_first())) + F.col("mx_before")
-    upto = lambda k: F.floor(F.col("mx_rate") * k + F.lit(START))
-    return own.join(staged(offsets, "mix-offsets"), keys).withColumn("mx_place", place).select("mx_row", "mx_size", "mx_source_size", "mx_target", (upto(F.col("mx_place")) - upto(F.col("mx_place") - 1)).cast("long").alias("mx_copies"))
+    keys = ["mx_source", "mx_base", "mx_size"]
+    cells = staged(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("mx_n")), "mix-cells")
+    goals = targets(cells.groupBy("mx_source").agg(F.sum(F.col("mx_size") * F.col("mx_n")).alias("mx_size")), weights, share, most).withColumnRenamed("mx_size", "mx_source_size")
+    goals = staged(goals, "mix-goals")
+    placed = staged(cells.join(goals.select("mx_source", "mx_place"), "mx_source"), "mix-placed")
+    some = placed.where("mx_size > 0").select("mx_place", "mx_base", "mx_size", "mx_n")
+    dual = balance(some, goals.select("mx_place", "mx_target"), most)
+    rate = F.round(F.least(F.lit(float(most)), F.col("mx_base") * F.exp(F.least(F.lit(700.0), F.col("mx_lambda") * (F.col("mx_size") / F.col("mx_scale"))))), 9)
+    copies = whole_copies(some.join(dual, "mx_place").select("mx_place", "mx_base", "mx_size", "mx_n", rate.alias("mx_rate")), most)
+    none = F.least(F.floor(F.col("mx_base") + 0.5), F.lit(int(most))) * F.col("mx_n")
+    copies = copies.unionByName(placed.where("mx_size = 0").select("mx_place", "mx_size", "mx_base", "mx_n", none.alias("mx_all")))
+    copies = staged(copies.join(goals, "mx_place").select(*keys, "mx_n", "mx_all", "mx_source_size", "mx_target", F.ceil(F.col("mx_n") / rows_a_bucket).alias("mx_buckets")), "mix-copies")
+    # Places within a cell: by id, beyond rows_a_bucket documents by bucket of the hash first, and rows too many for one
+    # bucket (they are equal, or nearly) by their number in the scan.
+    dealt = own.join(copies, keys).withColumn("mx_bucket", F.pmod("mx_hash", "mx_buckets"))
+    large = dealt.where("mx_buckets > 1").groupBy(*keys, "mx_bucket").agg(F.count(F.lit(1)).alias("mx_in"))
+    large = staged(large.withColumn("mx_parts", F.ceil(F.col("mx_in") / (2 * rows_a_bucket))), "mix-large")
+    dealt = dealt.join(large.drop("mx_in"), [*keys, "mx_bucket"], "left").withColumn("mx_part", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "mx_parts"), F.lit(0)))
+    dealt = dealt.withColumn("mx_at", F.row_number().over(Window.partitionBy(*keys, "mx_bucket", "mx_part").orderBy(F.col("mx_id").asc_nulls_first(), "mx_hash")))
+    if large.limit(1).count():
+        dealt = staged(dealt.drop("mx_parts"), "mix-dealt")
+        ends = dealt.where("mx_buckets > 1").groupBy(*keys, "mx_bucket", "mx_part").agg(F.count(F.lit(1)).alias("mx_in"))
+        before = Window.partitionBy(*keys).orderBy("mx_bucket", "mx_part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("mx_before", F.coalesce(F.sum("mx_in").over(before), F.lit(0))).drop("mx_in")
+        dealt = dealt.join(ends, [*keys, "mx_bucket", "mx_part"], "left").withColumn("mx_at", F.col("mx_at") + F.coalesce("mx_before", F.lit(0)))
+    each, odd = F.floor(F.col("mx_all") / F.col("mx_n")), F.col("mx_all") % F.col("mx_n")
+    return dealt.select("mx_row", "mx_size", "mx_source_size", "mx_target", (each + F.when(F.col("mx_at") <= odd, 1).otherwise(0)).cast("long").alias("mx_copies"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -100,7 +100,7 @@ f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""",
     "op9_mixing": r"""
-WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
              row_number() OVER (ORDER BY source NULLS LAST) AS place, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -109,8 +109,23 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEE
              (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS whole FROM w),
 l AS (SELECT *, (whole - capped) / rest AS own FROM f),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT max(own) FROM l WHERE cap > own * weight), cap)) AS target FROM l),
-r AS (SELECT sized.*, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate,
-             row_number() OVER (PARTITION BY sized.source ORDER BY size, coalesce(doc_id, 0) % 64, doc_id NULLS FIRST) AS k
-      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + 0.3819660112501051) - floor(rate * (k - 1) + 0.3819660112501051)) AS BIGINT) AS taken FROM r""",
+c AS (SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL),
+a AS (SELECT source, sum(size * n) / sum(n) AS scale, min(size) AS least FROM c GROUP BY 1),
+newton AS (
+  SELECT a.source, target, scale, -50.0::DOUBLE / (least / scale) AS low, (ln(2.0::DOUBLE) + 1) / (least / scale) AS high, 0.0::DOUBLE AS lam, 0 AS i FROM t JOIN a ON t.source IS NOT DISTINCT FROM a.source
+  UNION ALL
+  SELECT source, target, scale, low, high, CASE WHEN there THEN lam WHEN next > low AND next < high THEN next ELSE (low + high) / 2 END, i + 1 FROM (
+    SELECT source, target, scale, CASE WHEN target > now THEN lam ELSE low END AS low, CASE WHEN target > now THEN high ELSE lam END AS high, lam, i, abs(target - now) <= 1e-12::DOUBLE * greatest(target, 1) AS there, lam + (target - now) / nullif(slope, 0) AS next FROM (
+      SELECT q.source, target, scale, low, high, lam, i, sum(n * size * least(2.0::DOUBLE, exp(least(700, lam * (size / scale))))) AS now, sum(CASE WHEN exp(least(700, lam * (size / scale))) < 2 THEN n * size * (size / scale) * exp(least(700, lam * (size / scale))) ELSE 0 END) AS slope
+      FROM newton q JOIN c ON q.source IS NOT DISTINCT FROM c.source WHERE i < 80 GROUP BY ALL))),
+r AS (SELECT c.source, size, n, round(least(2.0::DOUBLE, exp(least(700, lam * (size / scale)))), 9) AS rate, row_number() OVER (PARTITION BY c.source ORDER BY size DESC) AS k FROM c JOIN newton q ON q.source IS NOT DISTINCT FROM c.source AND i = 80),
+fold AS (
+  SELECT source, 0::BIGINT AS k, 0::BIGINT AS size, 0.0::DOUBLE AS owed, sum(n * rate * size) AS later, sum(n * size * 2.0::DOUBLE) AS room, 0::BIGINT AS copies FROM r GROUP BY source
+  UNION ALL
+  SELECT source, k, size, want - copies * size, later, room, copies FROM (SELECT *, greatest(0, least(CASE WHEN few <= top THEN greatest(few, least(near, top)) ELSE near END, 2 * n))::BIGINT AS copies FROM (
+    SELECT *, floor(want / size + 0.5) AS near, ceil((want + later - room) / size - 1e-6) AS few, floor((want + later) / size + 1e-6) AS top FROM (
+      SELECT r.source, r.k, r.size, n, owed + n * rate * r.size AS want, later - n * rate * r.size AS later, room - n * r.size * 2.0::DOUBLE AS room FROM fold JOIN r ON r.source IS NOT DISTINCT FROM fold.source AND r.k = fold.k + 1)))),
+d AS (SELECT sized.*, source_size, target, row_number() OVER (PARTITION BY sized.source, size ORDER BY doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY sized.source, size) AS n FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+SELECT d.doc_id, d.size, source_size, target, CAST(coalesce(d.size * (copies // n + CASE WHEN place <= copies % n THEN 1 ELSE 0 END), 0) AS BIGINT) AS taken
+FROM d LEFT JOIN fold ON d.source IS NOT DISTINCT FROM fold.source AND d.size = fold.size AND fold.k > 0""",
 }
