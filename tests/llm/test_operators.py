@@ -284,6 +284,86 @@ def test_quality_learns_and_scores_all(spark, docs):
     assert empty(spark).select(quality.scorer(spark, model)()).count() == 0
 
 
+def test_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    cloud = lambda n, at: rng.normal(at, 1, (n, 6)).astype(np.float32)
+    for share in (0.3, 0.8):
+        unlabelled = np.concatenate([cloud(int(4000 * share), 2.5), cloud(4000 - int(4000 * share), -2.5)])
+        assert abs(quality.class_prior(cloud(1500, 2.5), unlabelled) - share) < 0.05
+    assert quality.class_prior(cloud(2, 0), cloud(50, 0)) == 0.5
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.95])
+def test_steps_follow_the_slope_of_the_non_negative_risk(spark, prior):
+    """Against differences of the risk, written as a plain sum over rows."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 5)).astype(np.float32)
+    kind = np.arange(40) < 15
+    x[kind] += 1
+    model = quality.Network(prior, hidden=3).start(x[kind], x)
+    model.w = [np.ones((5, 3)) + model.w[0] / 9, np.zeros(3), np.full(3, 2.0), np.array([0.5])]
+
+    def risk(w):
+        out = lambda r: float(np.tanh(np.clip((r - model.mean) / model.scale, -8, 8) @ w[0] + w[1]) @ w[2] + w[3][0])
+        loss = lambda r, y: np.log1p(np.exp(-y * out(r)))
+        good = prior * np.mean([loss(r, 1) for r in x[kind]])
+        rest = np.mean([loss(r, -1) for r in x]) - prior * np.mean([loss(r, -1) for r in x[kind]])
+        return (good + rest if rest >= 0 else -rest), rest
+
+    assert (risk(model.w)[1] >= 0) == (prior < 0.5)
+    old, wanted = [w.copy() for w in model.w], []
+    for i, w in enumerate(old):
+        g = np.zeros(w.size)
+        for j in range(w.size):
+            ends = []
+            for e in (1e-5, -1e-5):
+                moved = [v.copy() for v in old]
+                moved[i].ravel()[j] += e
+                ends.append(risk(moved)[0])
+            g[j] = (ends[0] - ends[1]) / 2e-5
+        wanted.append(g.reshape(w.shape))
+    rows = spark.createDataFrame([(int(k), r.tobytes()) for k, r in zip(kind, x, strict=True)], "kind int, x binary").repartition(3)
+    quality.finish(model, rows, 1, rate=0.01, decay=0.0)
+    for w, o, g in zip(model.w, old, wanted, strict=True):
+        sure = np.abs(g) > 1e-4  # the first step of Adam is the rate against the sign of the slope
+        assert sure.any() and np.allclose((w - o)[sure], -0.01 * np.sign(g[sure]), atol=1e-4)
+
+
+def test_language_weights_match_plain_ftrl():
+    rng = np.random.default_rng(4)
+    rows, labels = [], rng.integers(0, 2, 12)
+    for y in labels:
+        idx = np.sort(rng.choice(20, 5, replace=False)).astype(np.int32)
+        rows.append((idx, (rng.random(5) + (idx % 2 == y)).astype(np.float32) / 5))
+    model = language_id.LanguageModel(["a", "b"], np.linspace(1, 2, language_id.SIZE))
+    alpha, beta, l1, l2, seed = 0.3, 1.0, 0.02, 0.05, 5
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, c):
+        if abs(z[f, c]) <= l1:
+            return 0.0
+        return -(z[f, c] - (l1 if z[f, c] > 0 else -l1)) / ((beta + n[f, c] ** 0.5) / alpha + l2)
+
+    draws = np.random.default_rng(seed)
+    order = draws.permutation(len(rows))
+    for _ in range(3):
+        for r in draws.permutation(order):
+            x = [(int(f), float(v) * model.idf[f] * language_id.SCALE) for f, v in zip(*rows[r], strict=True)] + [("bias", 1.0)]
+            ws = {(f, c): weight(f, c) for f, _ in x for c in (0, 1)}
+            s = [sum(ws[f, c] * v for f, v in x) for c in (0, 1)]
+            p = [np.exp(s[c] - max(s)) / sum(np.exp(t - max(s)) for t in s) for c in (0, 1)]
+            for f, v in x:
+                for c in (0, 1):
+                    g = v * (p[c] - (labels[r] == c))
+                    z[f, c] += g - ((n[f, c] + g * g) ** 0.5 - n[f, c] ** 0.5) / alpha * ws[f, c]
+                    n[f, c] += g * g
+    model.fit(rows, labels, epochs=3)
+    assert np.allclose(model.bias, [weight("bias", c) for c in (0, 1)], atol=1e-9)
+    for f in range(20):
+        assert np.allclose(model.weights[f], [weight(f, c) * model.idf[f] * language_id.SCALE for c in (0, 1)], rtol=1e-5, atol=1e-6)
+    assert (model.weights[20:] == 0).all() and model.temperature == 1.0
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = ["", "A b. A b.", "x", TEXTS[5]]
     assert np.allclose(quality.features(texts), np.concatenate([quality.features([t]) for t in texts]))

@@ -7,7 +7,7 @@ net on a bounded sample (``most_a_language`` documents of each language, drawn b
 exactly 0; a temperature fitted on a fifth of the sample held back calibrates the probabilities.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null language teach nothing;
-repeated rows are predicted alike; ties go to the first language by name; without anything to learn from all texts are
+very long texts are read whole; repeated rows are predicted alike; ties go to the first language by name; without anything to learn from all texts are
 ``und``; an empty table gives an empty result; columns other than id, text and language are not looked at.
 """
 
@@ -159,8 +159,9 @@ def learn(docs: DataFrame, held_out_folds: int = 4, held_out: int = 2, most_a_la
     model = LanguageModel(languages, np.log((1 + n) / (1 + df)) + 1)
     if not languages:
         return model
-    share = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, most_a_language / sizes[k]))]), F.col("lang"))
-    sample = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).limit(2 * most_a_language * len(languages))
+    wanted = docs.sparkSession.createDataFrame([(k, min(1.0, most_a_language / sizes[k])) for k in languages], "lang string, share double")
+    # A broadcast row a language: the model itself holds a column of weights for each.
+    sample = own.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("share"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

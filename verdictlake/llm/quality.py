@@ -2,14 +2,22 @@
 
 Trusted positives and unlabelled web text train a small network on figures of a text's form (classes of characters and
 their pairs, words, repetition). With the class prior p, the risk is p times the positives' loss plus what remains of
-the unlabelled texts' negative loss after p times the positives' negative loss; where a batch makes that remainder
-negative, the step goes against it instead. The prior is estimated as the share of positives among the trusted rows
-that may be learned from, times ``caution`` (a prior too high lets the correction pass over true negatives, one slightly
-too low costs little), or is given. Both samples are bounded (``most_positive``, ``most_unlabelled``, drawn by the
-hash of the id); scoring covers every whole text in Arrow batches, a bounded number of characters at a time.
-
-Defined results: a null or empty text is scored as the text without characters; repeated rows get equal scores; labels
-that are null, or ids without a document, teach nothing; without any positive the score is the prior everywhere; an
+the unlabelled texts' negative loss after p times the positives' negative loss; where that remainder is negative, the
+step goes against it instead.
+
+The prior is estimated from positives and unlabelled texts alone: a first network tells the two samples apart on two
+thirds of them; on the third held back, the share of unlabelled texts above a threshold over the share of positives above it
+bounds the prior at every threshold, and the threshold is taken at which that bound is least for certain (both shares
+with their Dvoretzky-Kiefer-Wolfowitz margins). Labels 0 take no part in anything.
+
+Training starts on a bounded sample (``most_positive`` labelled rows, ``most_start`` unlabelled ones, in expectation, by the
+hash of the id) and ends with ``passes`` steps on the risk over every row that may be learned from: each adds up, a
+partition at a time, the gradients of all positives and all unlabelled texts. Scoring covers every whole text in Arrow
+batches, a bounded number of characters at a time.
+
+Defined results: a null or empty text is scored as the text without characters; very long texts are measured whole; equal
+texts, and so ties and repeated rows, get equal scores; labels that are null, or ids without a document, teach nothing, an
+id with several labels is positive if one of them is; without any positive the score is the prior everywhere; an
 empty table gives an empty result; of the other columns only text, and for learning the id and label, are looked at.
 """
 
@@ -22,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, text_or_empty
+from .common import drop_staged, id_fold, staged, text_or_empty
 from .text_arrays import SPACES, chunks, code_points, shingle_hashes, word_hashes
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -114,66 +122,157 @@ class Network:
             return np.full(len(x), self.prior)
         return np.round(1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))), 9)  # matrix products differ in the last bits with the batch
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.008, decay: float = 1e-4) -> Network:
-        if not len(positive) or not len(unlabelled):
-            return self
-        rng, p = np.random.default_rng(self.seed), self.prior
+    def norm(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
+    def start(self, positive: np.ndarray, unlabelled: np.ndarray) -> Network:
         both = np.concatenate([positive, unlabelled]).astype(np.float64)
+        rng, d = np.random.default_rng(self.seed), both.shape[1]
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
-        d = both.shape[1]
         self.w = [rng.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), np.zeros(1)]
-        m, v, t = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w], 0
-        norm = lambda x: np.clip((x - self.mean) / self.scale, -8, 8)
-        zp, zu = norm(positive), norm(unlabelled)
+        return self
+
+    def pulls(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden values, probability of the positive class and loss as a negative of normed rows."""
+        h = np.tanh(z @ self.w[0] + self.w[1])
+        g = h @ self.w[2] + self.w[3]
+        return h, 1 / (1 + np.exp(-np.clip(g, -30, 30))), np.logaddexp(0, g)
+
+    def slopes(self, z: np.ndarray, h: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
+        """Gradient of the weights for the slopes of the outputs."""
+        dh = np.outer(slope, self.w[2]) * (1 - h * h)
+        return [z.T @ dh, dh.sum(0), h.T @ slope, np.array([slope.sum()])]
+
+    def move(self, grads: list[np.ndarray], state: dict, rate: float, decay: float) -> None:
+        """One step of Adam."""
+        state["t"] = t = state.get("t", 0) + 1
+        for i, g in enumerate(grads):
+            g = g + decay * self.w[i] if i in (0, 2) else g
+            m = state[i, "m"] = 0.9 * state.get((i, "m"), 0.0) + 0.1 * g
+            v = state[i, "v"] = 0.999 * state.get((i, "v"), 0.0) + 0.001 * g * g
+            self.w[i] = self.w[i] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+    def risk_slopes(self, p: float, k: int, n: int, rest: float, z: np.ndarray, h: np.ndarray, sig: np.ndarray, positive: np.ndarray) -> list[np.ndarray]:
+        """Of rows among k positives and n unlabelled, the gradient of the non-negative risk: of both parts, or against the rest."""
+        plus = np.where(positive, p * (sig - 1) / max(k, 1), 0.0)
+        minus = np.where(positive, -p * sig / max(k, 1), sig / max(n, 1))
+        return self.slopes(z, h, plus + minus if rest >= 0 else -minus)
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: int = 512, rate: float = 0.008, decay: float = 1e-4, apart: bool = False) -> Network:
+        """Batches of both samples. ``apart``: tell the samples apart by plain loss instead."""
+        if not len(positive) or not len(unlabelled):
+            return self
+        self.start(positive, unlabelled)
+        rng, p, state = np.random.default_rng(self.seed), self.prior, {}
+        zp, zu = self.norm(positive.astype(np.float64)), self.norm(unlabelled.astype(np.float64))
         steps = max(1, len(zu) // batch)
         for epoch in range(epochs):
             up, uu = rng.permutation(len(zp)), rng.permutation(len(zu))
             for s in range(steps):
                 bu = zu[uu[s * batch : (s + 1) * batch]]
-                bp = zp[np.take(up, np.arange(s * batch, (s + 1) * batch), mode="wrap")]
-                x = np.concatenate([bp, bu])
-                h = np.tanh(x @ self.w[0] + self.w[1])
-                g = h @ self.w[2] + self.w[3]
-                sig, k = 1 / (1 + np.exp(-np.clip(g, -30, 30))), len(bp)
-                negative = np.logaddexp(0, g)
-                rest = negative[k:].mean() - p * negative[:k].mean()
-                plus = np.concatenate([p * (sig[:k] - 1) / k, np.zeros(len(bu))])
-                minus = np.concatenate([-p * sig[:k] / k, sig[k:] / len(bu)])
-                slope = plus + minus if rest >= 0 else -minus
-                dh = np.outer(slope, self.w[2]) * (1 - h * h)
-                grads = [x.T @ dh + decay * self.w[0], dh.sum(0), h.T @ slope + decay * self.w[2], np.array([slope.sum()])]
-                t += 1
-                for i, gr in enumerate(grads):
-                    m[i] = 0.9 * m[i] + 0.1 * gr
-                    v[i] = 0.999 * v[i] + 0.001 * gr * gr
-                    self.w[i] = self.w[i] - rate * (1 - epoch / epochs) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                bp = zp[np.take(up, np.arange(s * batch, s * batch + len(bu)), mode="wrap")]
+                z, own, k = np.concatenate([bp, bu]), np.arange(2 * len(bu)) < len(bu), len(bu)
+                h, sig, negative = self.pulls(z)
+                if apart:
+                    grads = self.slopes(z, h, (sig - own) / len(z))
+                else:
+                    grads = self.risk_slopes(p, k, k, negative[k:].mean() - p * negative[:k].mean(), z, h, sig, own)
+                self.move(grads, state, rate * (1 - epoch / epochs), decay)
         return self
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1, seed: int = 3) -> float:
+    """The share of positives among the unlabelled, from the two samples."""
+    if len(positive) < 6 or len(unlabelled) < 6:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    up, uu = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    a, b = len(up) // 3, len(uu) // 3
+    model = Network(0.5, hidden=16).fit(positive[up[a:]], unlabelled[uu[b:]], epochs=12, apart=True)
+    sp, su = np.sort(model.score(positive[up[:a]])), np.sort(model.score(unlabelled[uu[:b]]))
+    at = np.unique(np.concatenate([sp, su]))
+    above = lambda s: 1 - np.searchsorted(s, at, side="left") / len(s)
+    margin = lambda n: (np.log(4 / sure) / (2 * n)) ** 0.5
+    p, u = above(sp), above(su)
+    low = p - margin(a)
+    bound = np.where(low > 0, (u + margin(b)) / np.maximum(low, 1e-9), np.inf)
+    best = int(np.argmin(bound))
+    return float(np.clip(u[best] / max(p[best], 1e-9) if np.isfinite(bound[best]) else 1.0, 0.02, 0.98))
+
+
 def feature_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """id, x (figures as bytes) of every row."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"kind": b["kind"], "x": [r.tobytes() for r in features(b["text"].tolist())]})
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                yield pd.DataFrame({"id": part["id"], "x": [r.tobytes() for r in features(part["text"].tolist())]})
 
-    return docs.select("kind", text_or_empty(text).alias("text")).mapInPandas(run, "kind int, x binary")
+    return docs.select("id", text_or_empty(text).alias("text")).mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, x binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out_folds: int = 5, prior: float | None = None, most_positive: int = 6000, most_unlabelled: int = 12_000, caution: float = 0.97, doc_id: str = "doc_id", label: str = "quality") -> Network:
+def added_up(rows: DataFrame, part) -> np.ndarray | None:
+    """The sum of part(figures, positive) over all rows: one partial sum a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                found = part(np.stack([np.frombuffer(x, np.float32) for x in b["x"]]).astype(np.float64), b["kind"].to_numpy() == 1)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    total = None
+    for r in rows.select("kind", "x").mapInPandas(run, "sums binary").toLocalIterator():
+        found = np.frombuffer(r["sums"], np.float64)
+        total = found.copy() if total is None else total + found
+    return total
+
+
+def finish(model: Network, rows: DataFrame, passes: int, rate: float = 0.004, decay: float = 1e-4) -> Network:
+    """Steps on the non-negative risk over all rows (kind 1: positives, which are unlabelled texts, too; x)."""
+    state: dict = {}
+    for s in range(passes):
+
+        def part(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+            z = model.norm(x)
+            h, sig, negative = model.pulls(z)
+            parts = [positive.sum(), len(z), negative[positive].sum(), negative.sum()]
+            of = [model.slopes(z[m], h[m], f(sig[m])) for m, f in ((positive, lambda v: v - 1), (positive, lambda v: v), (slice(None), lambda v: v))]
+            return np.concatenate([parts, *[g.ravel() for gs in of for g in gs]])
+
+        sums = added_up(rows, part)
+        if sums is None or not sums[0]:
+            return model
+        (k, n, of_positive, of_all), p = sums[:4], model.prior
+        gains, losses, negative = np.split(sums[4:], 3)
+        rest = of_all / n - p * of_positive / k
+        against = negative / n - p * losses / k
+        flat = p * gains / k + against if rest >= 0 else -against
+        cuts = np.cumsum([w.size for w in model.w])[:-1]
+        model.move([g.reshape(w.shape) for g, w in zip(np.split(flat, cuts), model.w, strict=True)], state, rate * (1 - s / passes), decay)
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, held_out_folds: int = 5, prior: float | None = None, most_positive: int = 6000, most_start: int = 12_000, passes: int = 8, caution: float = 0.97, doc_id: str = "doc_id", label: str = "quality") -> Network:
     """Fit on the rows whose fold is not 0."""
     open_docs = docs.where(id_fold(doc_id, held_out_folds) != 0).select(F.col(doc_id).alias("id"), F.col("text"))
-    trusted = labels.where(id_fold(doc_id, held_out_folds) != 0).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("label")).where("label is not null")
-    seen = trusted.agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") == 1, 1).otherwise(0))).first()
-    prior = prior if prior is not None else caution * ((seen[1] or 0) + 1) / (seen[0] + 2)
-    n = open_docs.count()
+    trusted = labels.where((id_fold(doc_id, held_out_folds) != 0) & (F.col(label) == 1)).select(F.col(doc_id).alias("id")).distinct()
+    figures = staged(feature_rows(open_docs), "quality-figures", 1000)
+    rows = staged(figures.join(trusted.withColumn("kind", F.lit(1)), "id", "left").select("id", F.coalesce("kind", F.lit(0)).alias("kind"), "x"), "quality-rows")
+    drop_staged(figures)
+    seen = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("kind"), F.lit(0))).first()
     draw = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = trusted.where((F.col("label") == 1) & (draw(1) < min(1.0, most_positive / max(seen[1] or 0, 1)))).select("id").limit(2 * most_positive)
-    unlabelled = open_docs.where(draw(2) < min(1.0, most_unlabelled / max(n, 1))).limit(2 * most_unlabelled)
-    positive = open_docs.join(F.broadcast(chosen), "id", "left_semi")  # at most 2 * most_positive ids
-    rows = feature_rows(positive.withColumn("kind", F.lit(1)).unionByName(unlabelled.withColumn("kind", F.lit(0)))).toPandas()
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]) if len(rows) else np.zeros((0, width()), np.float32)
-    order = np.lexsort((*x.T[:8], x[:, -1], rows["kind"])) if len(rows) else []
-    x, kind = x[order], rows["kind"].to_numpy()[order] if len(rows) else np.zeros(0)
-    return Network(float(np.clip(prior, 0.02, 0.98))).fit(x[kind == 1], x[kind == 0])
+    sample = lambda c, seed, most, n: rows.where(c & (draw(seed) < min(1.0, most / max(n, 1)))).select("x").toPandas()["x"]
+    matrix = lambda xs: np.frombuffer(b"".join(sorted(xs)), np.float32).reshape(len(xs), -1) if len(xs) else np.zeros((0, width()), np.float32)
+    positive, unlabelled = matrix(sample(F.col("kind") == 1, 1, most_positive, seen[1])), matrix(sample(F.lit(True), 2, most_start, seen[0]))
+    model = Network(caution * class_prior(positive, unlabelled) if prior is None else prior).fit(positive, unlabelled)
+    if model.w is not None:
+        model = finish(model, rows, passes)
+    drop_staged(rows)
+    return model
 
 
 def scorer(spark, model: Network, most_rows: int = 256):
