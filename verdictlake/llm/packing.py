@@ -67,8 +67,9 @@ class Encoder:
             steps("normalizer", "normalizers") == NORMAL and steps("pre_tokenizer", "pretokenizers") == PARTED and model == {"type": "BPE", "end_of_word_suffix": "</w>"}
             and not any(form.get(k) for k in ("truncation", "padding", "post_processor"))
         )
-        added = [t["content"] for t in form.get("added_tokens") or []]
-        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE) if added else None
+        added = form.get("added_tokens") or []
+        self.added = [t["content"] for t in added if not t["normalized"]]
+        self.added_lowered = [t["content"].lower() for t in added if t["normalized"]]
         self.split = regex.compile(SPLIT)
 
     def whole(self, text: str) -> bytes:
@@ -94,7 +95,9 @@ class Encoder:
 
     def in_runs(self, text: str) -> bool:
         """Whether the runs of the text may be encoded one by one (four separators part words in Python alone)."""
-        return self.by_runs and not any(c in text for c in "\x1c\x1d\x1e\x1f") and not (self.added and self.added.search(text))
+        if not self.by_runs or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(t in text for t in self.added):
+            return False
+        return not (self.added_lowered and any(t in text.lower() for t in self.added_lowered))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
