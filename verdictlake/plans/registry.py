@@ -531,3 +531,6 @@ def predictor_scores(spark, d):
     rows = results(spark, d, "verified").join(part, "problem")
     model, dispersion, _ = R.choose(rows, "problem", "features", "k", "n", [1.0, 10.0, 100.0], [0.0, 0.05, 0.1], folds=3, seed=7)
     return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
+
+
+from . import decision_queries  # noqa: E402, F401  (registers its queries)
