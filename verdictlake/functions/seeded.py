@@ -26,5 +26,10 @@ def half(seed: int, label: str, key: Column) -> Column:
     return (F.conv(F.substring(rank_hash(seed, label, key), 64, 1), 16, 10).cast("int") % 2).cast("int")
 
 
+def half_of_first_digits(seed: int, label: str, key: Column) -> Column:
+    """0 or 1: parity of the first 8 hex digits, which is that of the eighth."""
+    return F.conv(F.substring(rank_hash(seed, label, key), 8, 1), 16, 10).cast("long") % 2
+
+
 def content_id(normalized: Column) -> Column:
     return F.substring(F.sha2(normalized, 256), 1, 16)

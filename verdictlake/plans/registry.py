@@ -533,4 +533,4 @@ def predictor_scores(spark, d):
     return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
 
 
-from . import decision_queries  # noqa: E402, F401  (registers its queries)
+from . import decision_queries, text_queries  # noqa: E402, F401  (they register their queries)
