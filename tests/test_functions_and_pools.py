@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions import rates, seeded, statements
 from verdictlake.operators import attempts as A
+from verdictlake.operators import draws as D
 from verdictlake.operators import pool as P
 from verdictlake.plans.session import working_dir
 from verdictlake.streaming import verdict_log as S
@@ -23,8 +24,10 @@ def test_pass_at_equals_the_closed_form(spark):
 
 
 def test_band_and_rungs(spark):
+    for target, floor in ((0.25, 0.8), (0.1, 0.5), (0.5, 0.999), (0.9, 0.5)):
+        a, (low, high) = 1 / target - 1, rates.band_edges(target, floor)
+        assert low < target < high and all(abs(p * (1 - p) ** a / (target * (1 - target) ** a) - floor) < 1e-9 for p in (low, high))
     low, high = rates.band_edges(0.25, 0.8)
-    assert low < 0.25 < high
     rows = spark.createDataFrame([(k, 100) for k in range(101)], "k int, n int").select("k", rates.rung(F.col("k"), F.col("n")).alias("r")).collect()
     for r in rows:
         p = r.k / 100
@@ -32,8 +35,8 @@ def test_band_and_rungs(spark):
 
 
 @pytest.mark.parametrize(("gained", "lost", "p"), [(0, 0, None), (5, 0, 0.0625), (3, 3, 1.0), (8, 1, 0.0390625)])
-def test_sign_test(gained, lost, p):
-    assert rates.sign_test(gained, lost) == p
+def test_sign_test(spark, gained, lost, p):
+    assert spark.range(1).select(rates.sign_probability(F.lit(gained).cast("bigint"), F.lit(lost).cast("bigint")).alias("p")).first()["p"] == p
 
 
 def test_seeded_draws_follow_the_hash(spark):
@@ -47,27 +50,16 @@ def test_seeded_draws_follow_the_hash(spark):
     assert large[:7] == small == sorted(ids, key=h.get)[:7]
 
 
-def plain_comments(text):
-    out, depth, i = [], 0, 0
-    while i < len(text):
-        if depth == 0 and text.startswith("--", i):
-            while i < len(text) and text[i] != "\n":
-                out.append(" ")
-                i += 1
-        elif text.startswith("/-", i) or (depth and text.startswith("-/", i)):
-            depth += 1 if text[i] == "/" else -1
-            out.append("  ")
-            i += 2
-        else:
-            out.append(text[i] if not depth or text[i] == "\n" else " ")
-            i += 1
-    return "".join(out)
+COMMENTS = [
+    ("a -- b\nc", "a     \nc"), ("a /- x /- y -/ z -/ b", "a                   b"), ("/- open\nstill", "       \n     "), ("no", "no"), ("/-- doc -/ t", "           t"), ("--/- no block\nx -/ y", "             \nx -/ y"),
+    ("/- -- -/ after", "         after"), ("a-b - c/d", "a-b - c/d"), ("x/-/y", "x    "), (None, None), ("", ""),
+]
 
 
 def test_comments_become_spaces(spark):
-    cases = ["a -- b\nc", "a /- x /- y -/ z -/ b", "/- open\nstill", "no", "/-- doc -/ t", "--/- no block\nx -/ y", "/- -- -/ after", None]
-    df = spark.createDataFrame([(c,) for c in cases], "t string")
-    assert [r.s for r in df.select(statements.strip_comments(F.col("t")).alias("s")).collect()] == [None if c is None else plain_comments(c) for c in cases]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(COMMENTS)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", statements.strip_comments(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(COMMENTS))] == [want for _, want in COMMENTS]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -84,7 +76,7 @@ def test_two_key_duplicates_match_the_loop(spark, seed):
         if f is not None:
             seen_f.add(f)
     df = spark.createDataFrame(rows, "pos int, t string, f string")
-    assert sorted(r.pos for r in P.first_wins_two_keys(df, "pos", "t", "f").collect()) == want
+    assert sorted(r.pos for r in D.first_wins(df, "pos", ["t", "f"]).collect()) == want
 
 
 def test_settle(spark):

@@ -14,17 +14,24 @@ def reward(p: Column, target: float) -> Column:
     return p * F.pow(1 - p, F.lit(a)) / F.lit(target * (1 - target) ** a)
 
 
-def band_edges(target: float, floor: float) -> tuple[float, float]:
-    """The pass rates between which the reward is at least the floor."""
+def band_edges(target: float, floor: float, steps: int = 60) -> tuple[float, float]:
+    """The pass rates between which the reward is at least the floor.
+
+    The logarithm of the reward is concave in the log-odds x of the pass rate, so Newton's steps from outside the band never pass an edge.
+    Outside starts come from dropping one factor of the reward, which bounds it from above.
+    """
+    softplus = lambda x: max(x, 0.0) + math.log1p(math.exp(-abs(x)))
     a = 1 / target - 1
-    value = lambda p: p * (1 - p) ** a / (target * (1 - target) ** a)
+    level = math.log(floor * target) + a * math.log(1 - target)
     edges = []
-    for outer in (0.0, 1.0):
-        kept, lost = target, outer
-        for _ in range(80):
-            mid = (kept + lost) / 2
-            kept, lost = (mid, lost) if value(mid) >= floor else (kept, mid)
-        edges.append(kept)
+    for log_odds in (level - math.log(-math.expm1(level)), math.log(-math.expm1(level / a)) - level / a):
+        for _ in range(steps):
+            log_p, log_q = -softplus(-log_odds), -softplus(log_odds)
+            slope = math.exp(log_q) - a * math.exp(log_p)
+            if abs(slope) < 1e-12:
+                break
+            log_odds -= (log_p + a * log_q - level) / slope
+        edges.append(1 / (1 + math.exp(-log_odds)))
     return edges[0], edges[1]
 
 
@@ -49,16 +56,9 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return within((centre - spread) / (1 + z * z / n)), within((centre + spread) / (1 + z * z / n))
 
 
-def sign_test(gained: int, lost: int) -> float | None:
-    """Two-sided exact probability of a split at least as uneven, to 6 significant digits; None where nothing changed."""
-    n = gained + lost
-    if not n:
-        return None
-    return float(f"{min(1.0, 2 * sum(math.comb(n, i) for i in range(min(gained, lost) + 1)) / 2**n):.6g}")
-
-
 def sign_probability(gained: Column, lost: Column) -> Column:
-    """``sign_test`` as a column: the terms are summed through their logarithms, so that no count overflows."""
+    """Two-sided exact probability of a split at least as uneven, to 6 significant digits; null where nothing changed. The
+    terms are summed through their logarithms, so that no count overflows."""
     n, fewer = (gained + lost).cast("double"), F.least(gained, lost)
     start = F.struct((-n * math.log(2)).alias("t"), F.exp(-n * math.log(2)).alias("s"))
 
@@ -71,13 +71,6 @@ def sign_probability(gained: Column, lost: Column) -> Column:
     return F.when(n > 0, F.format_string("%.5e", both).cast("double"))
 
 
-def binomial(n: int, k: Column, p: Column) -> Column:
-    choose = F.lit(None).cast("double")
-    for i in range(n + 1):
-        choose = F.when(k == i, F.lit(float(math.comb(n, i)))).otherwise(choose)
-    return choose * F.pow(p, k) * F.pow(1 - p, n - k)
-
-
 def expected_reward(p: Column, n: int, target: float) -> Column:
     total = F.lit(0.0)
     for k in range(n + 1):

@@ -12,25 +12,6 @@ def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return rows.withColumn("pos_in_key", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("pos_in_key = 1").drop("pos_in_key")
 
 
-def first_wins_two_keys(rows: DataFrame, pos: str, one: str, two: str, checkpoint: bool = True) -> DataFrame:
-    """Rows kept when, in order of pos, a row is dropped if either key stands on an earlier KEPT row.
-
-    Fixed point: a row is kept once every earlier row that shares a key is dropped, dropped once one is kept. Rows
-    alone with both keys never enter the rounds; every round settles at least the first open row of each key.
-    """
-    lone = lambda k: (F.count(F.lit(1)).over(Window.partitionBy(k)) == 1) | F.col(k).isNull()
-    keep = lambda df: df.checkpoint() if checkpoint else df
-    state = keep(rows.select(pos, one, two).withColumn("lone", lone(one)).withColumn("lone", F.col("lone") & lone(two)).withColumn("kept", F.when(F.col("lone"), F.lit(True)).cast("boolean")))
-    while state.where("kept is null").limit(1).count():
-        before = lambda k, what, s=state: F.when(F.col(k).isNotNull(), F.max(what).over(Window.partitionBy(k).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)))
-        won, open_ = F.when(F.col("kept"), 1).otherwise(0), F.when(F.col("kept").isNull(), 1).otherwise(0)
-        seen = state.withColumns({"w1": before(one, won), "o1": before(one, open_)}).withColumns({"w2": before(two, won), "o2": before(two, open_)})
-        beaten = (F.coalesce("w1", F.lit(0)) + F.coalesce("w2", F.lit(0))) > 0
-        free = (F.coalesce("o1", F.lit(0)) + F.coalesce("o2", F.lit(0))) == 0
-        state = keep(seen.withColumn("kept", F.when(F.col("kept").isNotNull(), F.col("kept")).when(beaten, F.lit(False)).when(free, F.lit(True))).select(pos, one, two, "lone", "kept"))
-    return rows.join(state.where("kept").select(pos), pos, "left_semi")
-
-
 def barred(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that share none of the keys with a held row: one equi anti join a key, never one condition with OR."""
     for k in keys:
@@ -59,8 +40,9 @@ def propose(candidates: DataFrame, key: str, score: str, places: int, random_sha
 
 
 def half_pass_rate(rows: DataFrame, k: str, n: str, key: str, size: int) -> DataFrame:
-    """Nearest to one half. |2k - n| / n is compared as a whole number of parts of 720720, exact for n up to 16."""
-    return rows.withColumn("distance", F.expr(f"abs(2 * {k} - {n}) * 720720 div {n}")).orderBy("distance", key).limit(size)
+    """Nearest to one half. |2k - n| / n is compared in whole parts of 10**12: of fractions with n below a million unequal
+    ones lie more than a part apart and equal ones have equal parts, so the order is exact."""
+    return rows.withColumn("distance", F.expr(f"abs(2 * cast({k} as bigint) - {n}) * 1000000000000L div {n}")).orderBy("distance", key).limit(size)
 
 
 def matched_in_length(own: DataFrame, offered: DataFrame, key: str, bins: list[str], seed: int, label: str = "long_ordinary") -> DataFrame:

@@ -95,11 +95,14 @@ def gained_lost(spark, d):
     return pairs.where("(k_before = 0) <> (k_after = 0)").select("problem", F.expr("k_before = 0").alias("gained"))
 
 
-@query()
+SIGN_SQL = "CASE WHEN gained + lost > 0 THEN format('{:.5e}', least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2.0::DOUBLE))))))::DOUBLE END"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT *, {SIGN_SQL} AS p_value FROM (SELECT count(*) FILTER (k_before = 0 AND k_after > 0) AS gained, count(*) FILTER (k_before > 0 AND k_after = 0) AS lost FROM p)")
 def sign_test(spark, d):
     """Two-sided exact sign test of gained against lost (one row)."""
-    row = gained_lost(spark, d).agg(F.count_if("gained").alias("gained"), F.count_if(~F.col("gained")).alias("lost")).first()
-    return spark.createDataFrame([(row["gained"], row["lost"], rates.sign_test(row["gained"], row["lost"]))], "gained bigint, lost bigint, p_value double")
+    rows = gained_lost(spark, d).agg(F.count_if("gained").alias("gained"), F.count_if(~F.col("gained")).alias("lost"))
+    return rows.withColumn("p_value", rates.sign_probability(F.col("gained"), F.col("lost")))
 
 
 @query("""
@@ -252,14 +255,20 @@ def dedup_first_wins_one_key(spark, d):
     return P.first_of_key(rows, ["key"], ["doc_id"]).select("doc_id")
 
 
-@query()
+def first_wins_sql(rows: str, keys: str) -> str:
+    """CTEs q(pos, id, keys) and kept(id): the sequential rule as a recursive walk. rows: SELECT pos, id, keys (a list of strings, nulls left out)."""
+    return f"q AS (SELECT row_number() OVER (ORDER BY pos) AS pos, id, list_filter({keys}, lambda x: x IS NOT NULL) AS keys FROM ({rows})), walk AS (SELECT 0::BIGINT AS pos, NULL::BIGINT AS id, []::VARCHAR[] AS seen, false AS kept UNION ALL SELECT q.pos, q.id, CASE WHEN list_has_any(seen, keys) THEN seen ELSE list_concat(seen, keys) END, NOT list_has_any(seen, keys) FROM walk JOIN q ON q.pos = walk.pos + 1), kept AS (SELECT id FROM walk WHERE kept)"
+
+
+@query("WITH RECURSIVE " + first_wins_sql("SELECT doc_id AS pos, doc_id AS id, text, lang, n_chars // 50 AS size FROM documents", "['t' || sha256(text), 'p' || concat_ws(':', lang, length(text) // 50)]").replace("SELECT doc_id AS pos, doc_id AS id, text, lang, n_chars // 50 AS size FROM documents", "SELECT doc_id AS pos, doc_id AS id, text, lang FROM documents") + " SELECT id AS doc_id FROM kept")
 def dedup_two_keys(spark, d):
-    """Sequential rule over text and (language, length): held against a plain loop in the tests."""
+    """Sequential rule over text and (language, length)."""
+    from ..operators.draws import first_wins
     from .session import working_dir
 
     working_dir(spark)
     rows = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_key"), F.concat_ws(":", "lang", (F.length("text") / 50).cast("int")).alias("print"))
-    return P.first_wins_two_keys(rows, "doc_id", "text_key", "print").select("doc_id")
+    return first_wins(rows, "doc_id", ["text_key", "print"]).select("doc_id")
 
 
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
@@ -293,10 +302,9 @@ def k_shortest_per_key(spark, d):
     return load(spark, d, "documents").where("text is not null").select("lang", "doc_id", F.row_number().over(w).alias("n")).where("n <= 3")
 
 
-@query(f"WITH {R_SQL} SELECT problem, k, n FROM r ORDER BY abs(2 * k - n) / n::DOUBLE, problem LIMIT 50")
+@query(f"WITH {R_SQL} SELECT problem, k, n FROM r ORDER BY abs(2 * k - n) * 1000000000000 // n, problem LIMIT 50")
 def half_pass_rate(spark, d):
-    rows = results(spark, d)
-    return rows.withColumn("distance", F.abs(2 * F.col("k") - F.col("n")) / F.col("n")).orderBy("distance", "problem").limit(50).select("problem", "k", "n")
+    return P.half_pass_rate(results(spark, d), "k", "n", "problem", 50).select("problem", "k", "n")
 
 
 @query(f"WITH {R_SQL} SELECT problem, k, n FROM r ORDER BY NOT (k / n >= 0.02 AND k / n <= 0.05), k / n, sha256('7:difficulty:' || problem) LIMIT 60")
@@ -347,7 +355,13 @@ def length_groups(spark, d):
     return load(spark, d, "part").groupBy(statements.length_group(F.col("p_size")).alias("lines")).agg(F.count(F.lit(1)).alias("problems"), F.max("p_size").alias("longest"))
 
 
-@query()
+MATCHED_SQL = f"""WITH r AS (SELECT p_partkey AS problem, {BIN_SQL} AS bin, p_brand, p_brand = 'Brand#1' AS own FROM part),
+c AS (SELECT bin, count(*) FILTER (own) AS own, count(*) FILTER (NOT own) AS offered, CASE bin WHEN '8+' THEN 1 WHEN '4-7' THEN 2 WHEN '2-3' THEN 3 ELSE 4 END AS k FROM r GROUP BY 1),
+f AS (SELECT 0 AS k, '' AS bin, 0::BIGINT AS quota, 0::BIGINT AS carried UNION ALL SELECT c.k, c.bin, least(own + carried, offered), own + carried - least(own + carried, offered) FROM f JOIN c ON c.k = f.k + 1)
+SELECT problem, d.bin, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY sha256('7:long_ordinary:' || problem)) AS n FROM r WHERE NOT own) d JOIN f ON f.bin = d.bin WHERE n <= quota"""
+
+
+@query(MATCHED_SQL.replace("WITH r AS", "WITH RECURSIVE r AS", 1))
 def matched_in_length(spark, d):
     rows = load(spark, d, "part").select(F.col("p_partkey").alias("problem"), statements.length_group(F.col("p_size")).alias("bin"), "p_brand")
     own = rows.where("p_brand = 'Brand#1'")
@@ -437,7 +451,6 @@ def version_tax_sections(spark, d):
     return rounded(bridged.groupBy("section").agg((F.sum("b") / F.nullif(F.sum("a"), F.lit(0))).alias("ratio"), F.count(F.lit(1)).alias("problems")))
 
 
-SIGN_SQL = "CASE WHEN gained + lost > 0 THEN format('{:.5e}', least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2.0::DOUBLE))))))::DOUBLE END"
 BEAT_SQL = D.BEAT.replace("'", "''")
 FIGURES_SQL = f"""{PAIRS_SQL}, d AS (SELECT p_brand, k_before, k_after, (k_after - k_before) / 4 AS change FROM p JOIN part ON p_partkey = problem),
 s AS (SELECT p_brand, count(*) AS problems, avg(change) AS mean, avg(change) - 1.96::DOUBLE * stddev_samp(change) / sqrt(count(*)) AS low, avg(change) + 1.96::DOUBLE * stddev_samp(change) / sqrt(count(*)) AS high,
@@ -533,4 +546,4 @@ def predictor_scores(spark, d):
     return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
 
 
-from . import decision_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from . import decision_queries, draw_queries, join_queries, text_queries  # noqa: E402, F401  (they register their queries)

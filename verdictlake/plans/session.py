@@ -25,8 +25,12 @@ def ship(spark: SparkSession) -> None:
 
 def working_dir(spark: SparkSession) -> None:
     """Checkpoints go to spark.checkpoint.dir; only in local mode, where it may be unset, to a temporary folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    if spark.sparkContext.getCheckpointDir():
         return
-    if not spark.sparkContext.master.startswith("local"):
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(shared)
+        return
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
