@@ -66,7 +66,7 @@ def unit_rows(q: np.ndarray) -> np.ndarray:
 
 def best(edges: DataFrame, degree: int) -> DataFrame:
     """Of every node the nearest, each neighbour once (an old edge stays old)."""
-    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")))
     return ranked.where(F.col("n") <= degree).select("u", "v", "s", "fresh")
 
@@ -134,10 +134,15 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
                 ss.append(s[i, j])
             if sum(map(len, us)):
                 u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss)
-                order = np.lexsort((v, u))  # one row a pair and task
+                order = np.lexsort((v, u))  # one row a pair and batch
                 u, v, s = u[order], v[order], s[order]
                 new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(s[new]), pa.array(np.ones(new.sum(), bool))], ["u", "v", "s", "fresh"])
+                u, v, s = u[new], v[new], s[new]
+                order = np.lexsort((v, -s, u))  # and of each node no more than it can keep
+                u, v, s = u[order], v[order], s[order]
+                first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+                kept = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u)))) < degree
+                yield pa.RecordBatch.from_arrays([pa.array(u[kept]), pa.array(v[kept]), pa.array(s[kept]), pa.array(np.ones(kept.sum(), bool))], ["u", "v", "s", "fresh"])
 
     offers = meeting.repartition("u").sortWithinPartitions("u").mapInArrow(propose, EDGES)
     return staged(best(edges.withColumn("fresh", F.lit(False)).unionByName(offers), degree), "nn-edges")
@@ -158,10 +163,12 @@ def build_graph(nodes: DataFrame, degree: int = 32, reverse: int = 32, trees: in
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 128, width: int = 24, rounds: int = 8, reverse: int = 32, entries: int = 512) -> DataFrame:
     """queries: query_id, q, node (null: not of the index). Returns query_id, node: the beam after the last round."""
     around = staged(met(edges, reverse).select("u", "v"), "nn-around")
-    n = nodes.count()
-    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, entries / max(n, 1)) * (1 << 30)) + 1)).select("node").limit(2 * entries)
-    own = queries.where("node is not null").select("query_id", F.col("node").alias("v"))
-    other = queries.where("node is null").select("query_id").crossJoin(F.broadcast(drawn.select(F.col("node").alias("v"))))  # at most 2 * entries nodes
+    start = queries.where("node is not null").select("query_id", F.col("node").alias("v"))
+    if entries:
+        n = nodes.count()
+        drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, entries / max(n, 1)) * (1 << 30)) + 1))
+        doors = [r["node"] for r in drawn.select("node").limit(2 * entries).collect()]
+        start = start.unionByName(queries.where("node is null").select("query_id", F.explode(F.array(*[F.lit(x).cast("long") for x in doors])).alias("v")))
     asked = queries.select("query_id", F.col("q").alias("asked"))
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -175,7 +182,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 1
         return vectors.select("query_id", "v", "q", "asked").mapInArrow(run, "query_id bigint, v bigint, s double")
 
     by = Window.partitionBy("query_id").orderBy(F.desc("s"), "v")
-    state = staged(scored(own.unionByName(other)).withColumn("opened", F.lit(False)), "nn-beam")
+    state = staged(scored(start).withColumn("opened", F.lit(False)), "nn-beam")
     for _ in range(rounds):
         turn = state.withColumn("n", F.sum(F.when(~F.col("opened"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         turn = staged(turn.withColumn("open", (~F.col("opened")) & (F.col("n") <= width)).drop("n"), "nn-turn")
@@ -204,7 +211,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_
     rows = vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("vector")).where((F.col("query_id") % every == 0) & usable(F.col("vector")))
     rows = rows.groupBy("query_id").agg(F.max("vector").alias("vector"))
     queries = staged(rows.join(nodes, "vector").select("query_id", "node", "q", "vector"), "nn-queries")
-    found = search(queries.select("query_id", "node", "q"), nodes, edges, **settings)
+    found = search(queries.select("query_id", "node", "q"), nodes, edges, entries=0, **settings)  # each has a node of its own
     # The query's own node counts too: its other copies are the nearest of all.
     found = found.unionByName(queries.select("query_id", "node")).distinct()
     exact = found.join(nodes.select("node", F.col("vector").alias("other")), "node").join(queries.select("query_id", "vector"), "query_id")
