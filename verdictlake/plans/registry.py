@@ -72,11 +72,11 @@ CHANGE_SQL = "count(*) AS problems, avg(k_before / n_before) AS mean_before, avg
 
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
     """Doubles to a fixed place, so that sums in another order compare equal."""
-    return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c, t in df.dtypes if t == "double"})  # no negative zeros
 
 
 def sql_rounded(sql: str, *columns: str) -> str:
-    return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 9) AS {c}' for c in columns)}) FROM ({sql})"
+    return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, 9) + 0 AS {c}' for c in columns)}) FROM ({sql})"
 
 
 @query(sql_rounded(f"WITH {PAIRS_SQL} SELECT {RUNG_SQL.replace('k ', 'k_before ').replace('/ n', '/ n_before')} AS rung, {CHANGE_SQL} FROM p GROUP BY 1", "mean_before", "mean_after", "mean_change"))
@@ -134,9 +134,9 @@ def attempts_figure(spark, d):
     return rounded(A.figure(results(spark, d).join(load(spark, d, "part"), F.col("problem") == F.col("p_partkey")), ["p_brand"]))
 
 
-@query(f"WITH {R_SQL} SELECT b.k::INT AS k, count(r.problem) AS problems FROM range(9) b(k) LEFT JOIN r ON r.k = b.k GROUP BY 1")
+@query(f"WITH {R_SQL} SELECT b.k::INT AS k, count(r.problem) AS problems FROM (SELECT unnest(range(greatest(8, max(k)) + 1)) AS k FROM r) b LEFT JOIN r ON r.k = b.k GROUP BY 1")
 def k_histogram(spark, d):
-    """All problems: bins from 0 to the largest k, to 8 at least. The SQL stops at 8."""
+    """All problems: bins from 0 to the largest k, to 8 at least."""
     rows = results(spark, d)
     return A.histogram(rows, max(8, rows.agg(F.max("k").alias("k")).first()["k"] or 0))
 
@@ -192,9 +192,9 @@ def wilson_by_stratum(spark, d):
     return rounded(rows.select("p_brand", low.alias("low"), high.alias("high")))
 
 
-@query(sql_rounded("WITH y AS (SELECT year(l_shipdate) AS seed, count(*) FILTER (l_returnflag = 'R') / count(*) AS rate FROM lineitem GROUP BY 1) SELECT count(*) AS seeds, avg(rate) AS mean, stddev_samp(rate) AS sd, avg(rate) - 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS low, avg(rate) + 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS high FROM (SELECT * FROM y ORDER BY seed LIMIT 7)", "mean", "sd", "low", "high"))
+@query(sql_rounded("WITH y AS (SELECT year(l_shipdate) AS seed, count(*) FILTER (l_returnflag = 'R') / count(*) AS rate FROM lineitem GROUP BY 1) SELECT count(*) AS seeds, avg(rate) AS mean, stddev_samp(rate) AS sd, avg(rate) - 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS low, avg(rate) + 2.4469118511449692 * stddev_samp(rate) / sqrt(count(*)) AS high FROM y", "mean", "sd", "low", "high").replace("2.4469118511449692", f"(CASE count(*) {' '.join(f'WHEN {f + 1} THEN {t}' for f, t in rates.T_CRITICAL.items())} END)::DOUBLE"))
 def t_interval_over_seeds(spark, d):
-    """Over all years as seeds; a number of years whose critical value is not given is refused. The SQL reads the first seven."""
+    """Over all years as seeds; a number of years whose critical value is not given is refused."""
     rows = attempts(spark, d).groupBy(F.col("round").alias("seed")).agg((F.count_if("verified") / F.count(F.lit(1))).alias("rate"))
     half = F.lit(rates.t_critical(rows.count())) * F.stddev_samp("rate") / F.sqrt(F.count(F.lit(1)))
     return rounded(rows.agg(F.count(F.lit(1)).alias("seeds"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"), (F.avg("rate") - half).alias("low"), (F.avg("rate") + half).alias("high")))
@@ -418,14 +418,12 @@ def error_kinds_top(spark, d):
     return load(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("answers")).orderBy(F.desc("answers"), "kind").limit(3)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') THEN 'the' WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])de($|[^A-Za-z0-9_])') THEN 'de' END AS token FROM documents WHERE lang = 'en'")
-def forbidden_token(spark, d):
-    return load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.coalesce(*[F.when(F.col("text").rlike(f"(^|[^A-Za-z0-9_]){t}($|[^A-Za-z0-9_])"), F.lit(t)) for t in ("the", "de")]).alias("token"))
+TOKEN_SQL = lambda t: f"regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_.\'\']){t}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_\'\'])')"
 
 
-@query()
-def forbidden_token_all(spark, d):
-    """Over the documents of every language and of none; forbidden_token is the English part that its SQL names."""
+@query(f"SELECT doc_id, CASE WHEN {TOKEN_SQL('the')} THEN 'the' WHEN {TOKEN_SQL('de')} THEN 'de' END AS token FROM documents")
+def forbidden_token(spark, d):
+    """The first of the tokens, whole words, over the documents of every language."""
     return load(spark, d, "documents").select("doc_id", statements.first_forbidden(F.col("text"), ["the", "de"]).alias("token"))
 
 
@@ -546,4 +544,4 @@ def predictor_scores(spark, d):
     return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
 
 
-from . import decision_queries, draw_queries, join_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from . import decision_queries, draw_queries, estimate_queries, join_queries, read_queries, text_queries  # noqa: E402, F401  (they register their queries)
