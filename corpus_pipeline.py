@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences in five stages, each written and read again."""
+"""From raw documents to packed training sequences in five stages, each written and read again.
+
+Defined results: a null or empty text is scored by the quality classifier like any other and goes at the language stage, which
+knows no language for a text without a letter; of equal and nearly equal texts the one with the least id stays, whether or
+not ids are null or repeat; a null source is a source of its own; very long texts pass whole and are cut only into
+sequences; an empty table gives an empty result; other columns, whatever their names, stay with their documents up to
+the last stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.llm import jaccard_join, language_id, mixing, packing, quality
-from verdictlake.llm.common import new_dir, table
+from verdictlake.llm.common import drop_staged, new_dir, table
 from verdictlake.llm.queries import MOST_TOKENS, tokenizer_path
 
 #: A document stays if its quality score reaches the first, and its predicted language is known with the second.
@@ -22,8 +29,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     predict = language_id.predictor(spark, language_id.learn(docs))
-    found = docs.withColumn("li_found", predict("text"))
-    return found.where((F.col("li_found.lang_pred") != "und") & (F.col("li_found.score") >= LEAST_LANGUAGE)).drop("li_found")
+    found = docs.select(F.struct("*").alias("own"), predict("text").alias("found"))
+    known = found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_LANGUAGE))
+    return known.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +51,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_classifier", keep_quality), ("language_id", keep_language), ("jaccard_join", keep_one_of_each), ("mixing", mix_sources), ("best_fit_packing", pack_sequences)]
 
-#: SQL cannot express the classifiers, the forest or the packing. tests/llm holds the stages' operators against plain
-#: versions; run() as a whole has none yet.
+#: SQL cannot express the classifiers, the forest or the packing. tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         path = new_dir(spark, f"pipeline-{name}")
         stage(spark, rows, sf_dir).write.parquet(path)
+        if i:
+            drop_staged(rows)  # the stage before, which nothing reads any more
         rows = spark.read.parquet(path)
     return rows
