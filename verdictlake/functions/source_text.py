@@ -32,15 +32,16 @@ MOST_BINDER, MOST_BODY = 400, 2000
 
 
 def arrow(f: Callable, kind: str, *columns: Column) -> Column:
-    """f over Arrow batches, null where the first argument is."""
+    """f over Arrow batches, null where the first argument is (a null number arrives as NaN)."""
+    missing = lambda v: v is None or v != v
 
     @F.pandas_udf(kind)
     def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if a[0] is None else f(*a) for a in zip(*series, strict=True)], dtype=object)
+        return pd.Series([None if missing(a[0]) else f(*a) for a in zip(*series, strict=True)], dtype=object)
 
     @F.pandas_udf(kind)
     def run_struct(*series: pd.Series) -> pd.DataFrame:
-        rows = [None if a[0] is None else f(*a) for a in zip(*series, strict=True)]
+        rows = [None if missing(a[0]) else f(*a) for a in zip(*series, strict=True)]
         names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", kind)]
         return pd.DataFrame([r if r is not None else (None,) * len(names) for r in rows], columns=names)
 
