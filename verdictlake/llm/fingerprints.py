@@ -73,12 +73,12 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> D
     return least.groupBy(*keys).agg(F.sort_array(F.collect_list("sk_hash")).alias(sketch))
 
 
-def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = 4 << 20, most_buckets: int = 100_000, coarse: int = 128, sample: int = 16_384) -> tuple[DataFrame, Window]:
+def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = 4 << 20, most_buckets: int = 100_000, coarse: int = 384, sample: int = 16_384) -> tuple[DataFrame, Window]:
     """Deal docs (key bigint, without nulls; text) out to buckets that follow the order of key, then of the text's hash, then
     of rows; each bucket holds as a guest the first row of the next one that has any (the last one: of the first). Returns
     the rows, repartitioned by bucket, and the window in which lead() reaches the next document.
 
-    ``coarse`` marks from a sample of at most about ``sample`` rows cut the order into ranges, each of which is cut evenly
+    ``coarse`` marks from a sample of about ``sample`` rows, drawn by size, cut the order into ranges of like bytes, each of which is cut evenly
     between its ends: by key, or by hash where both ends have one key, or by row where they are equal rows, so that no
     key and no group of equal rows makes a bucket of its own. Next documents of equal rows are equal, whichever stands first.
     """
@@ -87,9 +87,16 @@ def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = 4 << 20,
     order = Window.partitionBy("bucket").orderBy("guest", key, "bk_h", "bk_u")
     if not n:
         return own.withColumns({"bucket": F.lit(0), "guest": F.lit(False)}), order
-    chosen = F.pmod(F.xxhash64("bk_u", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))
-    seen = sorted((r[0], r[1], r[2]) for r in own.where(chosen).select(key, "bk_h", "bk_u").collect())  # about sample rows of three numbers
-    marks = sorted({seen[len(seen) * i // coarse] for i in range(1, coarse)}) if seen else []
+    weight = F.octet_length(text) + F.lit(64)
+    unit = max(1.0, (size + 64 * n) / sample)  # a row of so many bytes is drawn for certain
+    chosen = F.pmod(F.xxhash64("bk_u", F.lit(1)), F.lit(1 << 30)) < (F.least(F.lit(1.0), weight / unit) * (1 << 30)).cast("long")
+    drawn = own.where(chosen).select(key, "bk_h", "bk_u", F.greatest(weight.cast("double"), F.lit(unit)).alias("w")).collect()  # about sample rows of four numbers
+    seen = sorted(((r[0], r[1], r[2]), r[3]) for r in drawn)
+    marks, before, step = [], 0.0, sum(w for _, w in seen) / coarse
+    for mark, w in seen:
+        if before >= step * (len(marks) + 1):
+            marks.append(mark)
+        before += w
     buckets = int(min(most_buckets, max(1, size // bucket_bytes)))
     fine = max(1, -(-buckets // (len(marks) + 1)))
     least, most = -(2**63), 2**63 - 1
@@ -109,7 +116,7 @@ def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = 4 << 20,
     follow = first.select(F.col("bucket").alias("guest_of"), F.coalesce(F.lead("first").over(whole), F.first("first").over(whole)).alias("g"))
     follow = follow.select("guest_of", *[F.col("g").getField(c).alias(f"g_{c}") for c in (key, "bk_h", "bk_u")])
     guests = own.join(F.broadcast(follow), [own[c] == follow[f"g_{c}"] for c in (key, "bk_h", "bk_u")]).select(*own.columns, F.col("guest_of").alias("bucket"), F.lit(True).alias("guest"))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
     rows = dealt.withColumn("guest", F.lit(False)).unionByName(guests).repartition(int(tasks), "bucket")
     return rows, order
 
