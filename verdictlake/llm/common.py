@@ -43,6 +43,14 @@ def staged(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts are large: where the session has Spark's own number of rows a batch (10,000), take fewer.
+    The setting is read when a plan runs, so it has to outlive the operator that returns the plan."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

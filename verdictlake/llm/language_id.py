@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, text_or_empty
+from .common import bound_batches, id_fold, text_or_empty
 from .text_arrays import chunks, code_points
 
 SIZE = 1 << 16
@@ -149,6 +149,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, held_out_folds: int = 4, held_out: int = 2, most_a_language: int = 1200, doc_id: str = "doc_id", lang: str = "lang") -> LanguageModel:
+    bound_batches(docs.sparkSession)
     own = docs.where((id_fold(doc_id, held_out_folds) != held_out) & F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col("text"), F.col(lang).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -177,6 +178,7 @@ def learn(docs: DataFrame, held_out_folds: int = 4, held_out: int = 2, most_a_la
 
 def predictor(spark, model: LanguageModel):
     """A column function: struct of lang_pred and score."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, id_fold, staged, text_or_empty
+from .common import bound_batches, drop_staged, id_fold, staged, text_or_empty
 from .text_arrays import SPACES, chunks, code_points, shingle_hashes, word_hashes
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -277,6 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_folds: int = 5, prior: fl
 
 def scorer(spark, model: Network, most_rows: int = 256):
     """A column function: score of a text column."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
