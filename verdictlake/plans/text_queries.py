@@ -195,9 +195,10 @@ CLASS_SQL = f"f AS (SELECT *, {LATER} AS class, {EARLIER_SQL} AS earlier FROM or
 @query(f"WITH {CLASS_SQL}, s AS (SELECT DISTINCT o_orderpriority FROM f), c(class) AS (VALUES ('unknown_identifier'), ('other_error'), ('timeout'), ('rejected_lexical')) SELECT s.o_orderpriority, c.class, count(f.o_orderkey) AS failures, count(f.o_orderkey) FILTER (f.earlier) AS lost FROM s CROSS JOIN c LEFT JOIN f ON f.o_orderpriority = s.o_orderpriority AND f.class = c.class GROUP BY ALL")
 def failure_classes(spark, d):
     """Failures and lost attempts by section and class, classes without any as 0."""
-    counts = failures(spark, d).groupBy("o_orderpriority").agg(*[F.count_if(F.col("class") == c).alias(f"f{i}") for i, c in enumerate(V.FAILURE_CLASSES)], *[F.count_if((F.col("class") == c) & F.col("earlier")).alias(f"l{i}") for i, c in enumerate(V.FAILURE_CLASSES)])
-    each = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"f{i}").alias("failures"), F.col(f"l{i}").alias("lost")) for i, c in enumerate(V.FAILURE_CLASSES)])
-    return counts.select("o_orderpriority", F.inline(each))
+    counts = failures(spark, d).groupBy("o_orderpriority", "class").agg(F.count(F.lit(1)).alias("f"), F.count_if("earlier").alias("l"))
+    one = lambda c, v: F.coalesce(F.max(F.when(F.col("class") == c, F.col(v))), F.lit(0))
+    each = F.array(*[F.struct(F.lit(c).alias("class"), one(c, "f").alias("failures"), one(c, "l").alias("lost")) for c in V.FAILURE_CLASSES])
+    return counts.groupBy("o_orderpriority").agg(each.alias("each")).select("o_orderpriority", F.inline("each"))
 
 
 @query(f"WITH {CLASS_SQL}, k AS (SELECT {by_shape(O, [a[4] for a in ANSWERS])} AS kind, o_orderkey FROM f WHERE {STATUS['v4.27']} = 'lean_error') SELECT kind, count(*) AS errors FROM k GROUP BY 1 ORDER BY 2 DESC, min(o_orderkey) LIMIT 6")
