@@ -129,3 +129,22 @@ def test_texts():
     assert X.resumed("  a\n  b\n  c", 1, "  d\n\n") == "  a\n  d\n"
     texts, statements, closer, ended = X.harvest("  have h : p := by x\n  have : p := y\n  exact this", 3, 1, size=1)
     assert texts == ["  have h_g1 : p := by x"] and closer == "  exact this" and ended == X.NOT_A_HAVE
+
+
+def test_fold_and_asked():
+    from verdictlake.operators import episodes as P
+    from verdictlake.plans.episode_queries import EPISODES
+
+    for loops in EPISODES:
+        assert [r[1:] for r in P.fold([(n + 1, *loop[0]) for n, loop in enumerate(loops)], 16)] == [loop[1] for loop in loops]
+    proof = "  have h : p := by x\n  have k : q := by x\n  exact k"
+    assert P.fold([(1, proof, 2, False, True)], 1) == [(1, "fresh", 1, 1, 0, None)]  # the closing step needs a lemma that had no room
+    calls = []
+
+    def check(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise RuntimeError
+        return [t.upper() for t in texts]
+
+    assert P.asked(["a", "b", "bad", "c", "d"], check, 2) == ["A", "B", P.NO_ANSWER, "C", "D"] and calls.count(1) >= 2

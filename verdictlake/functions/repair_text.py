@@ -130,10 +130,10 @@ def harvest(proof: str, kept: int, generation: int, size: int = 16) -> tuple | N
         if said in statements:
             names[name] = re.match(r"\s*have\s+(\S+)", texts[statements.index(said)])[1] if name else ""
             continue
-        if len(texts) == size:
-            continue
         own = f"{name}_g{generation}" if name else ""
         names |= {name: own} if name else {}
+        if len(texts) == size:  # no room: what needs it needs a name that is not there
+            continue
         texts.append("\n".join(("  " + line[base:]) for line in (step[0][1][: head.start(3)] + own + body).split("\n")))
         statements.append(said)
     last = [c for _, c in steps[-1]]

@@ -544,4 +544,4 @@ def predictor_scores(spark, d):
     return part.select("problem", R.predicted(model, F.col("features")).alias("predicted"), F.lit(dispersion).alias("dispersion"))
 
 
-from . import decision_queries, draw_queries, estimate_queries, join_queries, read_queries, repair_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from . import decision_queries, draw_queries, episode_queries, estimate_queries, join_queries, read_queries, repair_queries, text_queries  # noqa: E402, F401  (they register their queries)
