@@ -148,7 +148,7 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int, reverse: int) -> Da
     return staged(best(edges.withColumn("fresh", F.lit(False)).unionByName(offers), degree), "nn-edges")
 
 
-def build_graph(nodes: DataFrame, degree: int = 32, reverse: int = 32, trees: int = 4, block: int = 512, rounds: int = 8, settled: float = 0.01, seed: int = 3) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = 32, reverse: int = 32, trees: int = 4, block: int = 512, rounds: int = 8, settled: float = 0.02, seed: int = 3) -> DataFrame:
     n = nodes.count()
     edges = first_graph(nodes, n, degree, trees, block, seed)
     for _ in range(rounds if n > 2 else 0):
@@ -160,7 +160,7 @@ def build_graph(nodes: DataFrame, degree: int = 32, reverse: int = 32, trees: in
     return edges
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 128, width: int = 24, rounds: int = 8, reverse: int = 32, entries: int = 512) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 128, width: int = 64, rounds: int = 6, reverse: int = 32, entries: int = 512) -> DataFrame:
     """queries: query_id, q, node (null: not of the index). Returns query_id, node: the beam after the last round."""
     around = staged(met(edges, reverse).select("u", "v"), "nn-around")
     start = queries.where("node is not null").select("query_id", F.col("node").alias("v"))
