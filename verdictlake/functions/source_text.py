@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .statements import blank_comments
+from .statements import strip_comments as without_comments
 
 # The header of every source, brackets, identifiers, and the form of a declaration.
 HEADER = "import Mathlib\nimport Aesop\n\nset_option maxHeartbeats 0\n\nopen BigOperators Real Nat Topology Rat\n\n"
@@ -262,10 +263,6 @@ def negation_proof(statement: str, proof: str, name: str) -> tuple[str, str] | N
 # Columns
 
 
-def without_comments(text: Column) -> Column:
-    return F.when(text.contains("--") | text.contains("/-"), arrow(blank_comments, "string", text)).otherwise(text)
-
-
 def normalized(text: Column) -> Column:
     return arrow(normal, "string", text)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,16 +43,6 @@ def strip_comments(text: Column) -> Column:
     return F.when(text.contains("--") | text.contains("/-"), run(text)).otherwise(text)
 
 
-def composed(text: Column) -> Column:
-    """Unicode normal form C."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return run(text)
-
-
 def squeezed(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[ \t\n\r\x0b\x0c]+", " "))
 

@@ -34,11 +34,6 @@ def paired(results: DataFrame, arm: str, before, after, problem: str = "problem"
     return rows.where("k_before is not null and k_after is not null")
 
 
-def unequal_pairs(pairs: DataFrame) -> DataFrame:
-    """Refusal: pairs whose arms have different numbers of attempts."""
-    return pairs.where("n_before <> n_after")
-
-
 def change_by(pairs: DataFrame, group: Column, name: str) -> DataFrame:
     p, q = F.col("k_before") / F.col("n_before"), F.col("k_after") / F.col("n_after")
     return pairs.groupBy(group.alias(name)).agg(

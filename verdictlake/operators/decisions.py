@@ -56,10 +56,6 @@ def interval_label(i: Interval) -> Column:
     return sides(i, "improved", "degraded", "no measurable change")
 
 
-def progress_label(i: Interval) -> Column:
-    return sides(i, "promising", "negative", "inconclusive")
-
-
 def three_way(failed: Column, i: Interval, up: str, down: str, holds: str) -> Column:
     """The frame of every interval rule; ``failed`` is the number of failed checks."""
     return first_match(

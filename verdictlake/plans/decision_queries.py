@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates
 from ..operators import branches as B
+from ..operators import decisions as D
 from .registry import SIGN_SQL, attempts, load, query, rounded, sql_rounded
 
 K = "p_partkey"
@@ -63,7 +64,7 @@ def branch_sql(rules: dict[str, str], more: dict[str, str] | None = None) -> str
         sql = f"SELECT *, {B.case_sql(rule)} AS {name} FROM ({sql})"
     for name, e in (more or {}).items():
         sql = f"SELECT *, {e} AS {name} FROM ({sql})"
-    return f"SELECT {K}, {', '.join([*rules, *(more or {})])} FROM ({sql})"
+    return f"SELECT {', '.join([K, *rules, *(more or {})])} FROM ({sql})"
 
 
 def branches(rows, rules: dict[str, str]):
@@ -148,6 +149,30 @@ def branches_draws(spark, d):
     return branches(figures(spark, d), DRAWS).select(K, *DRAWS)
 
 
+SHARE = "CASE WHEN failed > 0 THEN NULL ELSE blind_share * 1.5 END"
+NARROW = B.NARROWER_IF
+FIRST_SQL = {
+    "rung": "CASE WHEN NOT coalesce(resume_share BETWEEN 0.1 AND 0.5, false) THEN 'VOID' WHEN low > 0 THEN 'ESCALATE' WHEN high < 0 THEN 'STOP' WHEN solved_low < 0 THEN 'SECONDARY OUTSIDE LUCK (below)' WHEN alone_low > 0 THEN 'SECONDARY OUTSIDE LUCK (above)' ELSE 'UNDETECTABLE' END",
+    "tax": f"CASE WHEN {SHARE} IS NULL THEN 'undefined' WHEN {SHARE} >= 0.8 THEN 'small' ELSE 'not small' END", "tax_decided": f"CASE WHEN {SHARE} IS NULL THEN NULL ELSE {SHARE} - 0.25 >= 0.8 OR {SHARE} + 0.25 < 0.8 END",
+    "rounds": "CASE WHEN NOT measured THEN 'VOID' WHEN alone_low <= 0 AND solved_low <= 0 THEN 'VOID' WHEN other_failed > 0 THEN 'STOP AND DIAGNOSE' WHEN mean IS NULL THEN 'VOID' ELSE 'ESCALATE' END",
+    "adds_read": "CASE WHEN failed > 0 OR mean IS NULL THEN NULL ELSE low > 0 END", "broad_read": f"CASE WHEN failed > 0 OR problems = 0 THEN NULL ELSE NOT ({NARROW}) END", "long_read": "CASE WHEN failed > 0 OR mean IS NULL THEN NULL ELSE NOT high < 0 END",
+}
+
+
+@query(branch_sql({}, FIRST_SQL | {"all_three": "adds_read AND broad_read AND long_read"}).replace("0.25 >= 0.8", "0.25::DOUBLE >= 0.8::DOUBLE").replace("0.25 < 0.8", "0.25::DOUBLE < 0.8::DOUBLE").replace("* 1.5", "* 1.5::DOUBLE").replace(">= 0.8 THEN", ">= 0.8::DOUBLE THEN").replace("BETWEEN 0.1 AND 0.5", "BETWEEN 0.1::DOUBLE AND 0.5::DOUBLE"))
+def branches_first(spark, d):
+    """First rung, version tax, rounds of the loop and the three reads, as column functions."""
+    c = F.col
+    own, secondary = D.Interval(c("mean"), c("low"), c("high")), D.Interval(c("mean"), c("alone_low"), c("solved_low"))
+    share = F.expr(SHARE)
+    tax, decided = D.tax_read(share, share - 0.25, share + 0.25)
+    adds, broad, long, all_three = D.three_reads(c("failed"), own, c("problems"), c("gained"), c("lost"), c("p_value"), own)
+    return figures(spark, d).select(
+        K, D.first_rung(own, c("resume_share"), (0.1, 0.5), [secondary])["name"].alias("rung"), tax.alias("tax"), decided.alias("tax_decided"), D.loop_rounds(c("measured"), c("alone_low"), c("solved_low"), c("other_failed") > 0, c("mean"))["name"].alias("rounds"),
+        adds.alias("adds_read"), broad.alias("broad_read"), long.alias("long_read"), all_three.alias("all_three"),
+    )
+
+
 GATES_SQL = """WITH l AS (SELECT l_suppkey AS run, l_extendedprice::DOUBLE / 1000 AS loss, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate) AS nth, count(*) OVER (PARTITION BY l_suppkey) AS rows FROM lineitem),
 c AS (SELECT *, least(greatest(1, floor(rows * 0.1)), rows // 2) AS compared FROM l),
 g AS (SELECT run, any_value(rows) AS rows, any_value(compared)::BIGINT AS compared, avg(loss) FILTER (nth <= compared) AS first, avg(loss) FILTER (nth > rows - compared) AS last, var_samp(loss) FILTER (nth <= compared) AS vf, var_samp(loss) FILTER (nth > rows - compared) AS vl FROM c GROUP BY 1)
