@@ -1,12 +1,16 @@
 """Estimators, sources, tensor files, block streams and texts against plain versions; refusals."""
 
 import json
+import os
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdictlake.functions import intervals
 from verdictlake.functions import repair_text as X
 from verdictlake.functions import source_text as T
 from verdictlake.operators import estimates as E
@@ -34,6 +38,57 @@ def test_version_intervals_match_a_plain_loop(spark):
     assert len(got) == 3 * 8
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 1 << 20, 3 << 30])
+def test_a_stream_is_entered_at_any_place(n):
+    whole = np.random.default_rng(4).integers(0, n, size=200_000)
+    for step in (20_000, 66_002):
+        before = np.cumsum([0, *(intervals.numbers_kept(n, at, at + step, 4) for at in range(0, 200_000, step))])[:-1] if n > 1 else np.array([0])
+        for place in (0, 1, 19_999, 20_000, 131_073, 199_000):
+            got = intervals.stream_from(n, place, before, step, 4).integers(0, n, size=999)[: 200_000 - place]
+            assert (got == whole[place : place + 999]).all()
+
+
+@pytest.mark.parametrize("n, kinds", [(7, 3), (1000, 1000), (70_000, 5), (140_001, 66_000)])
+def test_sums_of_kinds_are_sums_of_their_rows(n, kinds):
+    rng = np.random.default_rng(n)
+    own, values = rng.integers(0, kinds, n).astype(np.uint32), rng.integers(0, 50, (kinds, 5)).astype(float)
+    picks = np.random.default_rng(9).integers(0, n, size=(9, n))
+    assert (intervals.resampled_sums(own, values, 9, np.random.default_rng(9)) == values[own][picks].sum(axis=1)).all()
+    values[own[picks[0, 0]], 2] = np.nan
+    got = intervals.resampled_sums(own, values, 9, np.random.default_rng(9))
+    assert np.array_equal(got, values[own][picks].sum(axis=1), equal_nan=True) and np.isnan(got[0, 2])
+
+
+def test_version_intervals_do_not_depend_on_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(i), int(n), int(rng.integers(0, n + 1)), int(rng.integers(0, n + 1))) for s, m in (("a", 700), (None, 90), ("one", 1)) for i, n in enumerate(rng.integers(1, 9, m))]
+    table = spark.createDataFrame(rows, "section string, p int, drawn int, earlier int, later int").repartition(5)
+    read = lambda: {(r.section, r.kind, r.figure): (r.value, r.low, r.high) for r in E.version_intervals(table, "section", "p", resamples=600, seed=8).collect()}
+    whole = read()
+    monkeypatch.setattr(E, "PART", 5000)  # 64, 11 and 1 tasks
+    assert read() == whole and len(whole) == 3 * 8
+    own = np.array([r[2:] for r in rows if r[0] == "a"], float)
+    drawn, early, late = own[np.random.default_rng(8).integers(0, 700, size=(600, 700))].sum(axis=1).T
+    for figure, again in (("earlier", early / drawn), ("later", late / drawn), ("share", late / early), ("difference", (late - early) / drawn)):
+        assert whole["a", "attempt", figure][1:] == tuple(np.quantile(again, [0.025, 0.975]))
+
+
+LARGE_SECTION = """
+from pyspark.sql import SparkSession
+from verdictlake.operators import estimates as E
+conf = {"spark.master": "local[1]", "spark.sql.shuffle.partitions": "2", "spark.executor.pyspark.memory": "1536m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+rows = spark.range(300_000).selectExpr("'overall' AS section", "id", "1 + id % 9 AS drawn", "id % 2 AS earlier", "id % 3 % 2 AS later")
+assert E.version_intervals(rows, "section", "id", resamples=500).count() == 8
+"""
+
+
+def test_a_large_section_fits_a_small_worker():
+    """Places of 500 resamples of 300,000 statements are 1.2 GB; a worker has 1.5 GB of address space."""
+    run = subprocess.run([sys.executable, "-c", LARGE_SECTION], env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_seeds_and_pools(spark):
     rows = spark.createDataFrame([(1, 1, 2, 4), (1, 2, 0, 4), (2, 1, 1, 4)], "problem int, seed int, k int, n int")
     assert [(r.problem, r.m) for r in E.over_seeds(rows, "problem", "seed", F.col("k") / F.col("n"), "m").collect()] == [(1, 0.25)]
