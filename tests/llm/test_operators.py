@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -533,6 +534,30 @@ def test_jaccard_join_matches_all_pairs(spark, docs, block):
     assert jaccard_join.join_similar(df.where("doc_id < 0")).count() == 0
 
 
+def test_tries_are_ordered_by_one_number_and_keep_every_shared_prefix(spark, monkeypatch):
+    seen, plans, write = {}, {}, jaccard_join.staged
+
+    def staged(df, name, *args):
+        out = write(df, name, *args)
+        if name in ("join-texts", "join-tries"):  # gone once the classes are there
+            plans[name], seen[name] = df._jdf.queryExecution().executedPlan().toString(), out.collect()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    rows = [(i, words(i, 40)) for i in range(600)] + [(600 + i, words(i, 40) + " end") for i in range(0, 600, 3)]
+    jaccard_join.join_similar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    sorts = re.findall(r"Sort \[(.*?)\], false", plans["join-tries"])
+    assert sorts and all(re.fullmatch(r"key#\d+L ASC NULLS FIRST", x) for x in sorts)  # bytes would be copied at each comparison
+    places = collections.defaultdict(set)
+    for r in seen["join-texts"]:
+        for t in range(24):
+            places[t, bytes(r["signature"][16 * t : 16 * t + 12])].add(r["node"])
+    shared = {(t, node) for (t, _), nodes in places.items() if len(nodes) > 1 for node in nodes}
+    got = [(r["tree"], r["node"]) for r in seen["join-tries"]]
+    assert len(shared) > 1000 and shared <= set(got) and len(got) == len(set(got))
+    assert len(got) < len(shared) + 500  # besides, rows at the borders of batches
+
+
 def test_one_of_each_keeps_classes_without_an_id_of_their_own(spark):
     rows = [(None, words(70 + i, 30)) for i in range(4)] + [(None, words(70, 30)), (5, words(80, 30)), (5, words(81, 30)), (6, words(81, 30)), (5, words(80, 30) + " end")]
     kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]

@@ -1,10 +1,9 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Every distinct text has one signature in each of ``trees`` trees: ``depth`` values, each a 16-bit digest of a minimum of
-its five-word shingles under a hash function of its own. A tree is the prefix trie of its signatures, held as the list of
-signatures in order: the table of all (tree, signature, text) is range-sorted, and in that order the longest prefix that a
-text shares with a neighbour is the longest that it shares with any text. Texts whose longest match is shorter than
-any prefix that will be asked for leave the tree at once.
+its five-word shingles under a hash function of its own. A tree is the prefix trie of its signatures, held as the table of
+(tree, signature, text). Texts that share with no other text the shortest prefix that will be asked for leave the tree at
+once: the table is range-sorted by one hash of tree and prefix, and a text without a neighbour of the same hash goes.
 
 Matched prefixes are then shortened one value at a time, from ``depth`` on. At each length the texts below one node of a
 trie that did not already meet at the longer prefix are compared on their whole shingle sets. How far a text goes is
@@ -107,29 +106,29 @@ def signatures(docs: DataFrame, forest: Forest, doc_id: str, text: str) -> DataF
     return own.mapInArrow(run, "doc bigint, sha binary, n bigint, signature binary")
 
 
-def sorted_tries(texts: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
-    """tree, label, node, n, reach: every tree's signatures in order, with the longest prefix shared with a neighbour.
+def shared_prefixes(texts: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """tree, label, node, n: of every tree the signatures whose first ``least`` values some other text has there too.
 
-    Rows of a shorter match than ``least`` are left out. At the borders of batches the neighbour is not known; there the
-    whole depth stands, which costs a look and loses nothing.
+    Rows are ordered by one hash of tree and prefix, as a sort by the signatures' bytes copies two of them a comparison.
+    Ranges are cut by hash and text, so that a prefix of many texts is no task of its own. At the borders of batches the
+    neighbour is not known; there the row stays, which costs a look and loses nothing, as does a collision.
     """
     width = 2 * depth
 
-    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, labels = batch.column(0).to_numpy(), binary_matrix(batch.column(1), ">u2")
-            same = (labels[1:] == labels[:-1]) & (tree[1:] == tree[:-1])[:, None]
-            shared = np.concatenate([[depth], np.cumprod(same, axis=1).sum(axis=1), [depth]])
-            reach = np.maximum(shared[1:], shared[:-1])
-            pick = np.flatnonzero(reach >= least)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(pick)) for c in batch.columns), pa.array(reach[pick].astype(np.int32))], ["tree", "label", "node", "n", "reach"])
+            key = batch.column(0).to_numpy()
+            same = np.concatenate([[True], key[1:] == key[:-1], [True]])
+            pick = pa.array(np.flatnonzero(same[1:] | same[:-1]))
+            yield pa.RecordBatch.from_arrays([c.take(pick) for c in batch.columns[1:]], ["tree", "label", "node", "n"])
 
     rows = texts.where("n > 0").select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("tree", F.expr(f"substring(signature, 1 + {width} * tree, {width})").alias("label"), "node", "n")
-    rows = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    return rows.mapInArrow(reaches, "tree int, label binary, node bigint, n bigint, reach int")
+    rows = rows.select(F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * least})")).alias("key"), "tree", "label", "node", "n")
+    rows = rows.repartitionByRange("key", "node").sortWithinPartitions("key")
+    return rows.mapInArrow(with_neighbour, "tree int, label binary, node bigint, n bigint")
 
 
 def met(codes: np.ndarray, rows: np.ndarray, columns: np.ndarray, trees: int) -> np.ndarray:
@@ -264,7 +263,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Data
 def blocks_at(tries: DataFrame, k: int, depth: int, done: DataFrame | None, block: int, block_bytes: int) -> DataFrame:
     """work, tree, low, high, part, node, asks: the pieces of work at prefixes of k values. A trie's node is left out where
     no text asks any more, where all its texts stood below one node before, and where an earlier tree has the same texts."""
-    rows = tries.where(F.col("reach") >= k).select("node", "n", "tree", F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * k})")).alias("key"), F.xxhash64("node" if k == depth else F.expr(f"substring(label, 1, {2 * k + 2})")).alias("child"))
+    rows = tries.select("node", "n", "tree", F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * k})")).alias("key"), F.xxhash64("node" if k == depth else F.expr(f"substring(label, 1, {2 * k + 2})")).alias("child"))
     rows = rows.withColumn("asks", F.lit(True)) if done is None else rows.join(done.withColumn("asks", F.lit(False)), "node", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
     buckets = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("tree").alias("tree"), F.bool_or("asks").alias("any"), (F.min("child") != F.max("child")).alias("new"),
@@ -284,7 +283,7 @@ def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, tree
     signed = staged(signatures(docs, Forest(trees, depth), doc_id, text), "join-signed", 1000)
     texts = signed.groupBy("sha").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     texts = staged(texts.withColumn("node", F.monotonically_increasing_id()), "join-texts")
-    tries = staged(sorted_tries(texts, trees, depth, least), "join-tries")
+    tries = staged(shared_prefixes(texts, trees, depth, least), "join-tries")
     wanted = tries.select("node").distinct().join(texts, "node").select("node", "sha", "doc", "copies", "signature")
     content = staged(shingled(docs, wanted, doc_id, text), "join-content", 400)
     links = done = None
